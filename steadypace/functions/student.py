@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TABLE = 200  # degrees of freedom with an exact critical value; an expansion serves beyond
 
@@ -81,7 +82,7 @@ def critical_value_column(dof: Column, alpha: float = 0.05) -> Column:
     """The critical value as a built-in expression: a table up to 200 degrees of freedom, the
     expansion of the quantile in 1/dof beyond (error below 1e-9 there)."""
     z = _normal_quantile(alpha)
-    exact = F.array(*[F.lit(v) for v in _critical_table(alpha)])
+    exact = F.expr("array(" + ", ".join(f"{v!r}D" for v in _critical_table(alpha)) + ")")
     terms = (
         (z**3 + z) / 4,
         (5 * z**5 + 16 * z**3 + 3 * z) / 96,
@@ -97,7 +98,7 @@ def critical_value_column(dof: Column, alpha: float = 0.05) -> Column:
     ).otherwise(expansion)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(two_sided_p(t.to_numpy(dtype=float, na_value=np.nan),
                                  dof.to_numpy(dtype=float, na_value=np.nan)))

@@ -22,6 +22,7 @@ from steadypace.operators.sessions import ORDER, PIECE, dense_ids, next_value
 from steadypace.operators.skew import (
     DEFAULT_POLICY,
     SkewPolicy,
+    is_small,
     null_safe_join,
     ordering,
 )
@@ -84,8 +85,9 @@ def match_intervals(intervals: DataFrame, events: DataFrame) -> DataFrame:
         .withColumn("_e_bin", F.floor(at / _width(F.col("_e_level"))))
         .withColumnRenamed("operator_id", "_e_operator_id")
     )
+    # Few events are sent to the stops; many are shuffled with them on (operator, date, bin).
     return binned.join(
-        probes,
+        F.broadcast(probes) if is_small(events) else probes,
         [
             F.col("operator_id").eqNullSafe(F.col("_e_operator_id")),
             F.col("scheduled_date") == F.col("event_date"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from steadypace.functions.strict import strict_mean, strict_mean_over
 from steadypace.operators.sessions import PIECE
-from steadypace.operators.skew import null_safe_join
+from steadypace.operators.skew import broadcast_if_small, null_safe_join
 
 
 @dataclass(frozen=True)
@@ -78,21 +78,31 @@ def keep_in_any(df: DataFrame, sets: Sequence[tuple[Sequence[str], DataFrame]])
     for position, (keys, members) in enumerate(sets):
         flag = f"_in_{position}"
         present = members.select(*keys).distinct().withColumn(flag, F.lit(True))
-        df = null_safe_join(df, present, keys, "left")
+        df = null_safe_join(df, broadcast_if_small(present), keys, "left")
         kept = kept | F.coalesce(F.col(flag), F.lit(False))
     return df.where(kept).drop(*(f"_in_{position}" for position in range(len(sets))))
 
 
 def semi_join(df: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is among ``ids`` under SQL equality (a missing key matches nothing)."""
-    return df.join(ids.select(*keys), list(keys), "left_semi")
+    return df.join(broadcast_if_small(ids.select(*keys).distinct()), list(keys), "left_semi")
+
+
+def entity_counts(
+    counted: DataFrame, key: str = "operator_id", into: str = "total_messages"
+) -> DataFrame:
+    """Rows per entity."""
+    return counted.groupBy(key).agg(F.count(F.lit(1)).alias(into))
 
 
 def attach_entity_count(
-    df: DataFrame, counted: DataFrame, key: str = "operator_id", into: str = "total_messages"
+    df: DataFrame,
+    totals: DataFrame,
+    share: Callable[[DataFrame], DataFrame] = broadcast_if_small,
+    key: str = "operator_id",
+    into: str = "total_messages",
 ) -> DataFrame:
-    """Number of ``counted`` rows of the entity on every row, 0 if none."""
-    totals = counted.groupBy(key).agg(F.count(F.lit(1)).alias(into))
-    return null_safe_join(df, totals, [key], "left").withColumn(
+    """The entity's count on every row, 0 if it has none."""
+    return null_safe_join(df, share(totals), [key], "left").withColumn(
         into, F.coalesce(F.col(into), F.lit(0).cast("long"))
     )

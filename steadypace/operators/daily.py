@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from steadypace.functions.scalars import days_relative, null_if_unknown
 from steadypace.functions.strict import early_rate
 from steadypace.operators.cohort import semi_join
+from steadypace.operators.skew import broadcast_if_small, is_small
 
 # Category levels, in order (fixed values).
 PRE_DISCIPLINE, POST_DISCIPLINE = "Pre-discipline", "Post-discipline"
@@ -24,18 +25,25 @@ def daily_rates(stops: DataFrame) -> DataFrame:
 
 def left_join_incidents(daily: DataFrame, incidents: DataFrame) -> DataFrame:
     """Daily rows with ``incident_date`` and ``discipline`` for a write-up on that day."""
-    own = incidents.select(
-        F.col("operator_id").alias("_operator"), F.col("incident_date")
-    ).distinct()
+    own = broadcast_if_small(
+        incidents.select(F.col("operator_id").alias("_operator"), "incident_date").distinct()
+    )
     matches = [F.col("operator_id") == F.col("_operator"), F.col("date") == F.col("incident_date")]
     joined = daily.join(own, matches, "left").drop("_operator")
     return joined.withColumn("discipline", F.col("incident_date").isNotNull())
 
 
 def discipline_days(stops: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Daily rates of the operators that have an incident, with the incidents joined on."""
-    disciplined = semi_join(stops, incidents, ["operator_id"])
-    return left_join_incidents(daily_rates(disciplined), incidents)
+    """Daily rates of the operators that have an incident, with the incidents joined on.
+
+    The filter on operators commutes with the aggregation: it goes first where it is a broadcast,
+    and after it where it needs a shuffle, so that only daily rows are shuffled for it.
+    """
+    if is_small(incidents):
+        daily = daily_rates(semi_join(stops, incidents, ["operator_id"]))
+    else:
+        daily = semi_join(daily_rates(stops), incidents, ["operator_id"])
+    return left_join_incidents(daily, incidents)
 
 
 def nth_event(df: DataFrame, entity: str, date: str, into: str = "n") -> DataFrame:

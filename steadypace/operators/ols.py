@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from steadypace.session import materialise
+
 LEVEL, SLOPE = "level", "slope"
 
 
@@ -66,27 +68,26 @@ def period_lines(
     )
 
 
-def _residual_variance(lines: DataFrame) -> DataFrame:
-    """Residual degrees of freedom and variance over the identified entities, one row."""
-    own = lines.where("identified")
+def _residual_fit(lines: DataFrame) -> tuple[int, float | None]:
+    """Residual degrees of freedom and variance over the identified entities."""
     n = F.sum(F.col("pre_n") + F.col("post_n"))
-    entities = F.count(F.lit(1))
-    dof = n - 4 * entities
-    rss = F.sum(F.col("pre_rss") + F.col("post_rss"))
-    return own.agg(
-        dof.alias("dof"), F.when(dof > 0, rss / dof).alias("s2"), n.alias("n_total")
+    row = (
+        lines.where("identified")
+        .agg((n - 4 * F.count(F.lit(1))).alias("dof"),
+             F.sum(F.col("pre_rss") + F.col("post_rss")).alias("rss"))
+        .collect()[0]
     )
-
-
-def _with_variance(lines: DataFrame) -> DataFrame:
-    fit = _residual_variance(lines).select(F.struct("dof", "s2", "n_total").alias("fit"))
-    return lines.withColumn("_fit", fit.scalar())
+    dof = int(row["dof"] or 0)
+    return dof, (row["rss"] / dof if dof > 0 else None)
 
 
 def discontinuity(df: DataFrame, y: str, x: str, post: Column) -> DataFrame:
     """y ~ x + post + x*post over all rows: four terms with estimate, standard error, t, dof, n."""
-    line = _with_variance(period_lines(df, y, x, post))
-    s2 = F.col("_fit.s2")
+    line = period_lines(df, y, x, post)
+    n = F.col("pre_n") + F.col("post_n")
+    rss = F.col("pre_rss") + F.col("post_rss")
+    line = line.withColumns({"n": n, "dof": n - 4, "s2": rss / F.nullif(n - 4, F.lit(0))})
+    s2 = F.when(F.col("dof") > 0, F.col("s2"))
     change = lambda part: F.col(f"post_{part}") - F.col(f"pre_{part}")
     both = lambda part: F.col(f"post_{part}") + F.col(f"pre_{part}")
     terms = [
@@ -100,7 +101,7 @@ def discontinuity(df: DataFrame, y: str, x: str, post: Column) -> DataFrame:
                  F.sqrt(s2 * variance).alias("std_error"))
         for name, estimate, variance in terms
     ])
-    out = line.select(F.inline(rows), F.col("_fit.dof").alias("dof"), F.col("_fit.n_total").alias("n"))
+    out = line.select(F.inline(rows), "dof", "n")
     return out.withColumn("t_value", F.col("estimate") / F.nullif("std_error", F.lit(0.0)))
 
 
@@ -120,29 +121,29 @@ def discontinuity_by(
     """
     if contrast not in ("absolute", "baseline"):
         raise ValueError(f"contrast must be absolute or baseline, not {contrast!r}")
-    lines = _with_variance(period_lines(df, y, x, post, entity))
+    # One row per entity, read several times below: kept, so that the data is read once.
+    lines = materialise(period_lines(df, y, x, post, entity))
+    dof, variance = _residual_fit(lines)
     for part in (LEVEL, SLOPE):
         lines = lines.withColumns({
             f"d_{part}": F.col(f"post_{part}") - F.col(f"pre_{part}"),
             f"v_{part}": F.col(f"post_v_{part}") + F.col(f"pre_v_{part}"),
         })
     if contrast == "baseline":
-        parts = ["d_level", "v_level", "d_slope", "v_slope"]
-        base = (
-            lines.where("identified")
-            .agg(F.min_by(F.struct(*entity, *parts), F.struct(*entity)).alias("base"))
-            .scalar()
+        parts = [f"{kind}_{part}" for part in (LEVEL, SLOPE) for kind in ("d", "v")]
+        base = lines.where("identified").agg(
+            F.min_by(F.struct(*entity, *parts), F.struct(*entity)).alias("_base")
+        )
+        lines = lines.join(F.broadcast(base))  # one row
+        lines = lines.where(
+            ~F.struct(*entity).eqNullSafe(F.struct(*[F.col(f"_base.{k}") for k in entity]))
         )
-        lines = lines.withColumn("_base", base)
-        own = F.struct(*entity)
-        base_key = F.struct(*[F.col(f"_base.{k}") for k in entity])
-        lines = lines.where(~own.eqNullSafe(base_key))
         for part in (LEVEL, SLOPE):
             lines = lines.withColumns({
                 f"d_{part}": F.col(f"d_{part}") - F.col(f"_base.d_{part}"),
                 f"v_{part}": F.col(f"v_{part}") + F.col(f"_base.v_{part}"),
             })
-    s2 = F.col("_fit.s2")
+    s2 = F.lit(variance).cast("double")
     rows = F.array(*[
         F.struct(
             F.lit(part).alias("term"),
@@ -153,7 +154,7 @@ def discontinuity_by(
     ])
     out = lines.select(
         *entity, F.inline(rows), F.col("pre_n").alias("n_pre"), F.col("post_n").alias("n_post"),
-        "identified", F.col("_fit.dof").alias("dof"),
+        "identified", F.lit(dof).cast("long").alias("dof"),
     )
     return out.withColumn("t_value", F.col("estimate") / F.nullif("std_error", F.lit(0.0)))
 

@@ -10,6 +10,7 @@ from steadypace.operators.attribution import attribute_events
 from steadypace.operators.cohort import (
     Criteria,
     attach_entity_count,
+    entity_counts,
     meets_criteria,
     with_session_stats,
 )
@@ -25,6 +26,7 @@ from steadypace.operators.skew import (
     DEFAULT_POLICY,
     SkewPolicy,
     find_hot_groups,
+    is_small,
     null_safe_join,
 )
 from steadypace.session import materialise
@@ -66,13 +68,13 @@ def message_hits(
 ) -> DataFrame:
     """Matched (message, stop) pairs with the stop's ordinal in its piece.
 
-    Only operators with a message are sessionised here: a semi join on the session key commutes
-    with the windows, so it cuts the log before the shuffle.
+    Only operators with a message matter here. A semi join on the session key commutes with the
+    windows, so where the operators fit a broadcast it cuts the log before the shuffle.
     """
-    wanted = null_safe_join(
-        stops, events.select("operator_id").distinct(), ["operator_id"], "left_semi"
-    )
-    narrow = wanted.select(*ENTITY, "scheduled_date", "scheduled_ts", *ORDER, "stop_name")
+    narrow = stops.select(*ENTITY, "scheduled_date", "scheduled_ts", *ORDER, "stop_name")
+    operators = events.select("operator_id").distinct()
+    if is_small(operators):
+        narrow = null_safe_join(narrow, F.broadcast(operators), ["operator_id"], "left_semi")
     pieces = sessionize(narrow, policy=policy)
     return attribute_events(_ordinals(pieces, policy), events, mode, policy)
 
@@ -105,7 +107,10 @@ def build_text_panel(
     by_piece = hits.groupBy(*PIECE).agg(
         _pick("stop_ordinal", on_multiple).alias("event_ordinal")
     )
-    kept = null_safe_join(pieces, by_piece, PIECE, "left").withColumn(
+    # With few hits the joins below are broadcasts (none has more rows than the hits), and the panel
+    # takes the one shuffle of the sessionisation.
+    share = F.broadcast if is_small(hits) else lambda df: df
+    kept = null_safe_join(pieces, share(by_piece), PIECE, "left").withColumn(
         "treated", F.col("event_ordinal").isNotNull()
     )
     kept = kept.where(F.coalesce(meets_criteria(criteria), F.lit(False)) | F.col("treated"))
@@ -116,8 +121,8 @@ def build_text_panel(
         .select(*PIECE, "stop_ordinal", F.col("_message.event_id").alias("message_id"),
                 F.col("_message.event_ts").alias("message_ts"))
     )
-    panel = null_safe_join(kept, by_stop, (*PIECE, "stop_ordinal"), "left")
-    panel = attach_entity_count(panel, hits)
+    panel = null_safe_join(kept, share(by_stop), (*PIECE, "stop_ordinal"), "left")
+    panel = attach_entity_count(panel, entity_counts(hits), share)
     middle = F.when(~F.col("treated"), F.floor(F.col("stops") / 2))
     panel = (
         panel.withColumn("middle_stop", middle)

@@ -162,6 +162,9 @@ def attach_ranges(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> D
 
 def metric_table(metrics: Mapping[str, Column], df: DataFrame) -> DataFrame:
     """One pass over ``df`` for all metrics, as rows (statistic, value)."""
-    names = {f"_m{i}": label for i, label in enumerate(metrics)}
-    row = df.agg(*[c.cast("double").alias(n) for n, c in zip(names, metrics.values())])
-    return row.withColumnsRenamed(names).unpivot([], list(metrics), "statistic", "value")
+    row = df.agg(*[c.cast("double").alias(f"_m{i}") for i, c in enumerate(metrics.values())])
+    rows = [
+        F.struct(F.lit(label).alias("statistic"), F.col(f"_m{i}").alias("value"))
+        for i, label in enumerate(metrics)
+    ]
+    return row.select(F.inline(F.array(*rows)))

@@ -45,6 +45,24 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` is proven small enough to send to every executor: by the optimizer's upper
+    bound on its size or else by counting, which stops at the limit."""
+    if plan_bytes(df) <= BROADCAST_BYTES:
+        return True
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a frame that ``is_small``; otherwise the join is left to shuffle, and to
+    adaptive execution where a key is hot."""
+    return F.broadcast(df) if is_small(df) else df
+
+
 def find_hot_groups(
     df: DataFrame, keys: Sequence[str], ts: str, policy: SkewPolicy | None
 ) -> DataFrame | None:

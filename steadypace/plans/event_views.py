@@ -15,6 +15,7 @@ from steadypace.operators.cohort import Criteria
 CRITERIA = Criteria(min_early=0.4, min_stops=4, max_secs=-10.0)
 WEEK = 604800
 COSTLY = 150
+LOGON = 10000  # offset between an operator's id and their logon
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,7 +72,7 @@ def adherence_source(spark: SparkSession, folder: str) -> DataFrame:
         F.to_date("ts").alias("scheduled_date"),
         F.date_format("ts", "HH:mm:ss.SSS").alias("scheduled_time"),
         F.concat(F.lit("V"), (F.col("user_id") % 7).cast("string")).alias("vehicle_id"),
-        F.col("user_id").cast("string").alias("driver_payrollNumber"),
+        (F.col("user_id") + LOGON).cast("string").alias("driver_payrollNumber"),
         (es % WEEK).cast("int").alias("lsStopSequence"),
         F.col("event_id").cast("string").alias("stop_id"),
         F.date_format("ts", "HH:mm:ss.SSS").alias("actual_time"),
@@ -105,5 +106,5 @@ def operators(spark: SparkSession, folder: str) -> DataFrame:
     customer = spark.read.parquet(f"{folder}/customer.parquet")
     return customer.select(
         F.col("c_custkey").cast("int").alias("operator_id"),
-        (F.col("c_custkey") + 10000).cast("int").alias("onboard_logon_id"),
+        (F.col("c_custkey") + LOGON).cast("int").alias("onboard_logon_id"),
     )
