@@ -11,7 +11,8 @@ from steadypace.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "local[4]", "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g",
+        "local[4]", "tests", spark__sql__shuffle__partitions="2", spark__driver__memory="4g",
+        spark__driver__extraJavaOptions="-XX:TieredStopAtLevel=1",
         spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")

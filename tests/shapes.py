@@ -2,7 +2,9 @@
 
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 DAY = datetime(2024, 1, 10)
 STOP = (
@@ -26,13 +28,22 @@ def stop(minutes, seq, trip="T", operator="O", secs=-50.0, early=1, time_point=T
             time_point)
 
 
+def frame(spark, rows, ddl):
+    """A local frame by way of Arrow, which needs no Python worker."""
+    schema = spark.createDataFrame([], ddl).schema
+    arrow = to_arrow_schema(schema)
+    columns = zip(*rows)
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
+
+
 def stops(spark, rows):
-    return spark.createDataFrame(rows, STOP)
+    return frame(spark, rows, STOP)
 
 
 def events(spark, minutes, operator="O"):
     rows = [(i, operator, at(m).date(), at(m)) for i, m in enumerate(minutes, start=1)]
-    return spark.createDataFrame(rows, EVENT)
+    return frame(spark, rows, EVENT)
 
 
 def run(n, first=0, step=2, **options):

@@ -3,7 +3,7 @@ from datetime import date, timedelta
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from shapes import rows
+from shapes import frame, rows
 
 from steadypace.operators.daily import (
     attach_entity_dates,
@@ -39,12 +39,12 @@ def stops(spark, operators, days=30, seed=1):
         (day(d), o, int(rng.random() < 0.4), float(rng.integers(-90, 60)))
         for o in operators for d in range(days) for _ in range(4)
     ]
-    return spark.createDataFrame(out, "date date, operator_id string, early int, adherence_secs double")
+    return frame(spark, out, "date date, operator_id string, early int, adherence_secs double")
 
 
 def incidents(spark, pairs):
-    return spark.createDataFrame([(o, day(d)) for o, d in pairs],
-                                 "operator_id string, incident_date date")
+    return frame(spark, [(o, day(d)) for o, d in pairs],
+                 "operator_id string, incident_date date")
 
 
 PAIRS = [("a", d) for d in (3, 9, 9, 14, 20, 25)] + [("b", 11), ("c", 99)]

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from shapes import rows
+from shapes import frame, rows
 
 from steadypace.functions.student import critical_value_column, critical_values, two_sided_p
 from steadypace.operators.effects import (
@@ -29,7 +29,7 @@ def data(spark):
                 out.append((entity, x, post, y))
     out += [("lonely", 1.0, False, 2.0)] + [("lonely", float(k), True, 1.0 * k) for k in range(5)]
     out += [("flat", 2.0, p, 1.0 * k) for p in (False, True) for k in range(3)]
-    return spark.createDataFrame(out, "entity string, x double, post boolean, y double").cache()
+    return frame(spark, out, "entity string, x double, post boolean, y double").cache()
 
 
 def dense(frame, entities):
