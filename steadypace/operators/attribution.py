@@ -140,6 +140,11 @@ def classify_unmatched(unmatched: DataFrame, stops: DataFrame, hits: DataFrame |
     departure time. Give the ``per_event`` hits to name events that only ``last_per_day`` left out.
     """
     day = ("operator_id", "scheduled_date")
+    wanted = unmatched.select(
+        "operator_id", F.col("event_date").alias("scheduled_date")
+    ).distinct()
+    if is_small(wanted):
+        stops = null_safe_join(stops, F.broadcast(wanted), day, "left_semi")
     by_time = stops.groupBy(*day, "trip_id", "departure_ts").agg(F.count(F.lit(1)).alias("_same"))
     bounds = by_time.groupBy(*day).agg(
         F.min("departure_ts").alias("first_departure_ts"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -19,17 +19,23 @@ INTERVAL = 1.98  # standard errors on each side of an effect (fixed value)
 ALPHA = 0.05
 
 
-def classify_outcome(estimate: Column, better: str) -> Column:
-    """Complier if the estimate has the wanted sign: ``up`` for seconds, ``down`` for early rates."""
-    if better not in ("up", "down"):
+def classify_outcome(estimate: Column, better: str | Mapping[str, str]) -> Column:
+    """Complier if the estimate has the wanted sign: ``up`` for seconds, ``down`` for early rates.
+    For several outcomes give ``{outcome: direction}``."""
+    directions = {"": better} if isinstance(better, str) else dict(better)
+    if not set(directions.values()) <= {"up", "down"}:
         raise ValueError(f"better must be up or down, not {better!r}")
-    complied = estimate > 0 if better == "up" else estimate < 0
+    if isinstance(better, str):
+        complied = estimate > 0 if better == "up" else estimate < 0
+    else:
+        up = F.col("outcome").isin(*[y for y, d in directions.items() if d == "up"])
+        complied = F.when(up, estimate > 0).otherwise(estimate < 0)
     return F.when(estimate.isNull(), F.lit(None)).when(complied, COMPLIER).otherwise(NONCOMPLIER)
 
 
 def effect_table(
     coefficients: DataFrame,
-    better: str = "up",
+    better: str | Mapping[str, str] = "up",
     terms: Sequence[str] = (LEVEL,),
     with_p: bool = False,
 ) -> DataFrame:
@@ -50,7 +56,8 @@ def effect_table(
 
 
 def rank_effects(effects: DataFrame, entity: Sequence[str], into: str = "sort_order") -> DataFrame:
-    """Number effects 1.. by estimate (ties by entity and term), without a single-task window."""
+    """Number effects 1.. by estimate (ties by entity and term), without a single-task window.
+    Rank the outcomes one by one."""
     order = [F.col("estimate").asc_nulls_last(), *[F.col(k).asc_nulls_last() for k in entity], "term"]
     return dense_ids(effects, order, into)
 
@@ -71,9 +78,10 @@ def operators_by_class(
     effects: DataFrame, panel: DataFrame, entity: Sequence[str], operator: str = "operator_id"
 ) -> DataFrame:
     """Operators with an entity in each outcome group; one operator may count in both."""
-    owners = panel.select(*dict.fromkeys([*entity, operator])).distinct()
-    classes = effects.select(*entity, "outcome_group").distinct()
-    joined = null_safe_join(owners, classes, entity)
+    joined = effects
+    if operator not in entity:
+        owners = panel.select(*entity, operator).distinct()
+        joined = null_safe_join(owners, effects.select(*entity, "outcome_group"), entity)
     return joined.select("outcome_group", operator).distinct().groupBy("outcome_group").agg(
         F.count(F.lit(1)).alias("operators")
     )

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from steadypace.operators.skew import broadcast_if_small, null_safe_join
 from steadypace.session import materialise
 
 LEVEL, SLOPE = "level", "slope"
@@ -68,22 +69,30 @@ def period_lines(
     )
 
 
-def _residual_fit(lines: DataFrame) -> tuple[int, float | None]:
-    """Residual degrees of freedom and variance over the identified entities."""
+def outcomes_long(df: DataFrame, ys: Sequence[str]) -> DataFrame:
+    """Rows once per outcome as (outcome, y), so that one pass over the data fits all of them."""
+    cases = [F.struct(F.lit(c).alias("outcome"), F.col(c).cast("double").alias("y")) for c in ys]
+    return df.select("*", F.inline(F.array(*cases)))
+
+
+def _residual_fit(lines: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Residual degrees of freedom and variance over the identified entities, per model."""
     n = F.sum(F.col("pre_n") + F.col("post_n"))
-    row = (
-        lines.where("identified")
-        .agg((n - 4 * F.count(F.lit(1))).alias("dof"),
-             F.sum(F.col("pre_rss") + F.col("post_rss")).alias("rss"))
-        .collect()[0]
-    )
-    dof = int(row["dof"] or 0)
-    return dof, (row["rss"] / dof if dof > 0 else None)
+    dof = n - 4 * F.count(F.lit(1))
+    rss = F.sum(F.col("pre_rss") + F.col("post_rss"))
+    columns = [dof.alias("dof"), F.when(dof > 0, rss / dof).alias("s2")]
+    own = lines.where("identified")
+    return own.groupBy(*by).agg(*columns) if by else own.agg(*columns)
 
 
-def discontinuity(df: DataFrame, y: str, x: str, post: Column) -> DataFrame:
-    """y ~ x + post + x*post over all rows: four terms with estimate, standard error, t, dof, n."""
-    line = period_lines(df, y, x, post)
+def discontinuity(
+    df: DataFrame, y: str, x: str, post: Column, by: Sequence[str] = ()
+) -> DataFrame:
+    """y ~ x + post + x*post over all rows: four terms with estimate, standard error, t, dof, n.
+
+    ``by`` fits one model per value of its columns.
+    """
+    line = period_lines(df, y, x, post, by)
     n = F.col("pre_n") + F.col("post_n")
     rss = F.col("pre_rss") + F.col("post_rss")
     line = line.withColumns({"n": n, "dof": n - 4, "s2": rss / F.nullif(n - 4, F.lit(0))})
@@ -101,7 +110,7 @@ def discontinuity(df: DataFrame, y: str, x: str, post: Column) -> DataFrame:
                  F.sqrt(s2 * variance).alias("std_error"))
         for name, estimate, variance in terms
     ])
-    out = line.select(F.inline(rows), "dof", "n")
+    out = line.select(*by, F.inline(rows), "dof", "n")
     return out.withColumn("t_value", F.col("estimate") / F.nullif("std_error", F.lit(0.0)))
 
 
@@ -112,29 +121,30 @@ def discontinuity_by(
     post: Column,
     entity: Sequence[str],
     contrast: str = "absolute",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Fully interacted model: change of level and slope of every entity, with pooled variance.
 
     ``absolute`` gives each entity's own change. ``baseline`` gives it relative to the first entity
     in key order, without a row for that one. An entity without two distinct x on both sides has
-    null estimates, ``identified`` false, and no share in the variance.
+    null estimates, ``identified`` false, and no share in the variance. ``by`` fits one model per
+    value of its columns (a handful, such as outcomes).
     """
     if contrast not in ("absolute", "baseline"):
         raise ValueError(f"contrast must be absolute or baseline, not {contrast!r}")
     # One row per entity, read several times below: kept, so that the data is read once.
-    lines = materialise(period_lines(df, y, x, post, entity))
-    dof, variance = _residual_fit(lines)
+    lines = materialise(period_lines(df, y, x, post, [*by, *entity]))
     for part in (LEVEL, SLOPE):
         lines = lines.withColumns({
             f"d_{part}": F.col(f"post_{part}") - F.col(f"pre_{part}"),
             f"v_{part}": F.col(f"post_v_{part}") + F.col(f"pre_v_{part}"),
         })
+    lines = _with_model(lines, _residual_fit(lines, by), by)
     if contrast == "baseline":
         parts = [f"{kind}_{part}" for part in (LEVEL, SLOPE) for kind in ("d", "v")]
-        base = lines.where("identified").agg(
-            F.min_by(F.struct(*entity, *parts), F.struct(*entity)).alias("_base")
-        )
-        lines = lines.join(F.broadcast(base))  # one row
+        own = lines.where("identified")
+        first = F.min_by(F.struct(*entity, *parts), F.struct(*entity)).alias("_base")
+        lines = _with_model(lines, own.groupBy(*by).agg(first) if by else own.agg(first), by)
         lines = lines.where(
             ~F.struct(*entity).eqNullSafe(F.struct(*[F.col(f"_base.{k}") for k in entity]))
         )
@@ -143,22 +153,29 @@ def discontinuity_by(
                 f"d_{part}": F.col(f"d_{part}") - F.col(f"_base.d_{part}"),
                 f"v_{part}": F.col(f"v_{part}") + F.col(f"_base.v_{part}"),
             })
-    s2 = F.lit(variance).cast("double")
     rows = F.array(*[
         F.struct(
             F.lit(part).alias("term"),
             F.col(f"d_{part}").alias("estimate"),
-            F.when(F.col("identified"), F.sqrt(s2 * F.col(f"v_{part}"))).alias("std_error"),
+            F.when(F.col("identified"), F.sqrt(F.col("s2") * F.col(f"v_{part}"))).alias("std_error"),
         )
         for part in (LEVEL, SLOPE)
     ])
     out = lines.select(
-        *entity, F.inline(rows), F.col("pre_n").alias("n_pre"), F.col("post_n").alias("n_post"),
-        "identified", F.lit(dof).cast("long").alias("dof"),
+        *by, *entity, F.inline(rows), F.col("pre_n").alias("n_pre"),
+        F.col("post_n").alias("n_post"), "identified", "dof",
     )
     return out.withColumn("t_value", F.col("estimate") / F.nullif("std_error", F.lit(0.0)))
 
 
+def _with_model(lines: DataFrame, model: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Columns of the model (one row, or one per ``by``) on every entity."""
+    if by:
+        return null_safe_join(lines, broadcast_if_small(model), by, "left")
+    one = model.select(F.struct("*").alias("_model")).scalar()
+    return lines.withColumn("_model", one).select("*", "_model.*").drop("_model")
+
+
 @dataclass(frozen=True)
 class StepModel:
     """y ~ polynomial(x) + step, with x in units of ``scale``."""

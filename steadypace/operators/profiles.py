@@ -142,11 +142,15 @@ def group_size_table(df: DataFrame, entity: str, by: str, into: str = "value") -
 
 def group_sizes(df: DataFrame, by: Sequence[str], entities: Sequence[Sequence[str]],
                 names: Sequence[str]) -> DataFrame:
-    """Distinct entities per group; an entity is a list of key columns, missing parts counted."""
+    """Distinct entities per group; an entity is a list of key columns, missing parts counted.
+
+    Rows are reduced to distinct members before the counts, which expand them once per entity.
+    """
+    columns = dict.fromkeys([*by, *(k for keys in entities for k in keys)])
     counts = [
         F.count_distinct(F.struct(*keys)).alias(name) for keys, name in zip(entities, names)
     ]
-    return df.groupBy(*by).agg(*counts)
+    return df.select(*columns).distinct().groupBy(*by).agg(*counts)
 
 
 def value_ranges(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -91,13 +91,24 @@ def pieces_without(df: DataFrame, hits: DataFrame, keys: Sequence[str] = PIECE)
     )
 
 
-def study_summary(events: DataFrame, hits: DataFrame, panel: DataFrame) -> DataFrame:
-    """Messages, targeted operators, matched messages, operators and pieces per group."""
+def study_summary(
+    events: DataFrame,
+    hits: DataFrame,
+    panel: DataFrame,
+    operator: str = "operator_id",
+    piece: Sequence[str] = PIECE,
+) -> DataFrame:
+    """Messages, targeted operators, matched messages, operators and pieces per group.
+
+    The panel's ``operator`` and ``piece`` columns may be the masked ones.
+    """
+    members = panel.select("treatment_group", *dict.fromkeys([operator, *piece])).distinct()
+
+    def operators_in(group: str):
+        return F.count_distinct(F.when(F.col("treatment_group") == group, F.struct(operator)))
 
-    def distinct_in(group: str, keys: Sequence[str]):
-        return F.count_distinct(
-            F.when(F.col("treatment_group") == group, F.struct(*keys))
-        )
+    def pieces_in(group: str):
+        return F.count_if(F.col("treatment_group") == group)
 
     # Statistic labels are fixed values.
     return stack([
@@ -118,12 +129,12 @@ def study_summary(events: DataFrame, hits: DataFrame, panel: DataFrame) -> DataF
         ),
         metric_table(
             {
-                "Operators in the treatment group": distinct_in(TREATMENT, ["operator_id"]),
-                "Operators in the comparison group": distinct_in(COMPARISON, ["operator_id"]),
-                "Work pieces in the treatment group": distinct_in(TREATMENT, PIECE),
-                "Work pieces in the comparison group": distinct_in(COMPARISON, PIECE),
+                "Operators in the treatment group": operators_in(TREATMENT),
+                "Operators in the comparison group": operators_in(COMPARISON),
+                "Work pieces in the treatment group": pieces_in(TREATMENT),
+                "Work pieces in the comparison group": pieces_in(COMPARISON),
             },
-            panel,
+            members,
         ),
     ])
 

@@ -15,13 +15,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from steadypace.functions.scalars import micros
 
 SLICE = "_slice"
+# Key columns computed by windows. Counting without them bounds the group sizes from above and lets the
+# optimizer drop the windows from the count.
+DERIVED = ("piece_start_ts",)
 
 
 @dataclass(frozen=True)
@@ -63,19 +66,25 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def _large_groups(df: DataFrame, keys: Sequence[str], ts: str, policy: SkewPolicy) -> list[Row]:
+    """At most rows / max_group_rows groups, with their count and time range."""
+    at = micros(F.col(ts))
+    sized = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
+    )
+    return sized.where(F.col("_n") > policy.max_group_rows).collect()
+
+
 def find_hot_groups(
     df: DataFrame, keys: Sequence[str], ts: str, policy: SkewPolicy | None
 ) -> DataFrame | None:
     """Groups above the row limit with their slice width, or None if there are none."""
     if policy is None or plan_bytes(df) <= policy.small_input_bytes:
         return None
-    at = micros(F.col(ts))
-    rows = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        .where(F.col("_n") > policy.max_group_rows)
-        .collect()
-    )
+    plain = [k for k in keys if k not in DERIVED]
+    if plain != list(keys) and not _large_groups(df, plain, ts, policy):
+        return None
+    rows = _large_groups(df, keys, ts, policy)
     if not rows:
         return None
     hot = []

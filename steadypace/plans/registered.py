@@ -92,7 +92,7 @@ from steadypace.plans.discipline_study import (
     predicted_day,
     predicted_profile,
 )
-from steadypace.plans.text_study import piece_effects, pooled_effect, run_text_study
+from steadypace.plans.text_study import piece_effects, pooled_effects, run_text_study
 from steadypace.sources.warehouse import read_adherence, read_discipline_daily, read_messages
 
 SALT = "salt"
@@ -345,17 +345,14 @@ def study_summary_table(spark, folder):
 
 @query
 def text_pooled_effect(spark, folder):
-    panel, _ = _panel(spark, folder)
-    both = stack([
-        pooled_effect(panel, y).withColumn("outcome", F.lit(y)) for y in ("adherence_secs", "early")
-    ])
-    return both.select("outcome", "term", near("estimate"), near("std_error"), near("t_value"),
-                       whole("dof"), "n")
+    return pooled_effects(_panel(spark, folder)[0]).select(
+        "outcome", "term", near("estimate"), near("std_error"), near("t_value"), whole("dof"), "n"
+    )
 
 
 @query
 def text_piece_effects(spark, folder):
-    effects = piece_effects(_panel(spark, folder)[0], "adherence_secs", "up")
+    effects = piece_effects(_panel(spark, folder)[0], {"adherence_secs": "up"})
     return effects.select(*key(), near("estimate", 3), near("low", 3), near("high", 3),
                           whole("significant"), "outcome_group", "n_pre", "n_post", whole("dof"))
 
@@ -363,14 +360,15 @@ def text_piece_effects(spark, folder):
 @query
 def text_outcome_counts(spark, folder):
     panel, _ = _panel(spark, folder)
-    effects = piece_effects(panel, "adherence_secs", "up")
+    effects = piece_effects(panel, {"adherence_secs": "up"})
     pieces = outcome_counts(effects, PIECE)
     return pieces.join(operators_by_class(effects, panel, PIECE), "outcome_group")
 
 
 @query
 def text_main_bars(spark, folder):
-    bars = main_bars(pooled_effect(_panel(spark, folder)[0], "adherence_secs"), as_rate=False)
+    pooled = pooled_effects(_panel(spark, folder)[0], ["adherence_secs"])
+    bars = main_bars(pooled, as_rate=False)
     return bars.select("period", near("value"), "label", whole("position"))
 
 

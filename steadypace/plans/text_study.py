@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadypace import schemas
 from steadypace.operators.attribution import classify_unmatched, event_id, unmatched_events
 from steadypace.operators.cohort import Criteria
 from steadypace.operators.effects import effect_table, rank_effects
-from steadypace.operators.ols import discontinuity, discontinuity_by
+from steadypace.operators.ols import discontinuity, discontinuity_by, outcomes_long
 from steadypace.operators.panel import (
     POST_TEXT,
+    PUBLISHED,
     TREATMENT,
     build_text_panel,
-    masked_panel,
     published_panel,
 )
 from steadypace.operators.profiles import subset, time_points_only
 from steadypace.operators.quality import study_summary
 from steadypace.operators.sessions import PIECE, duplicate_rows, sessionize
 from steadypace.operators.skew import DEFAULT_POLICY, SkewPolicy
+from steadypace.session import materialise
 from steadypace.sources.tables import (
     data_dictionary,
     save_coefficients,
@@ -72,46 +74,62 @@ def unmatched_reasons(study: TextStudy, stops: DataFrame) -> DataFrame:
     return classify_unmatched(study.unmatched, sessionize(stops), study.hits)
 
 
-def pooled_effect(panel: DataFrame, outcome: str) -> DataFrame:
-    """Level and slope change at the message over all stops of treated pieces."""
-    treated = subset(panel, TREATMENT)
-    return discontinuity(treated, outcome, "relative_stop",
-                         F.col("treatment_period") == POST_TEXT)
+# Outcomes of the study and the sign of an improvement.
+OUTCOMES = {"adherence_secs": "up", "early": "down"}
 
 
-def piece_effects(panel: DataFrame, outcome: str, better: str,
-                  contrast: str = "absolute") -> DataFrame:
-    """Effect per treated piece over its time points."""
-    points = time_points_only(subset(panel, TREATMENT))
-    fitted = discontinuity_by(points, outcome, "relative_stop",
-                              F.col("treatment_period") == POST_TEXT, PIECE, contrast)
-    return effect_table(fitted, better)
+def pooled_effects(panel: DataFrame, outcomes: Sequence[str] = tuple(OUTCOMES)) -> DataFrame:
+    """Level and slope change at the message over all stops of treated pieces, per outcome."""
+    treated = outcomes_long(subset(panel, TREATMENT), outcomes)
+    return discontinuity(treated, "y", "relative_stop", F.col("treatment_period") == POST_TEXT,
+                         ["outcome"])
+
+
+def piece_effects(
+    panel: DataFrame,
+    outcomes: Mapping[str, str] = OUTCOMES,
+    contrast: str = "absolute",
+    piece: Sequence[str] = PIECE,
+) -> DataFrame:
+    """Effect per treated piece over its time points, per outcome."""
+    points = outcomes_long(time_points_only(subset(panel, TREATMENT)), list(outcomes))
+    fitted = discontinuity_by(points, "y", "relative_stop",
+                              F.col("treatment_period") == POST_TEXT, piece, contrast, ["outcome"])
+    return effect_table(fitted, outcomes)
+
+
+MASKED = ("work_piece_id",)
+
+
+def read_published(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored panel under this library's names."""
+    stored = spark.read.parquet(f"{folder}/text_data")
+    return stored.withColumnsRenamed({name: c for c, name in PUBLISHED.items()})
 
 
 def save_text_study(study: TextStudy, folder: str, salt: str) -> None:
     """Published tables, dictionaries and coefficients under one folder."""
     spark = study.panel.sparkSession
-    panel = published_panel(study.panel, salt)
-    write_table(panel, f"{folder}/text_data", ["ScheduledDate"])
+    write_table(published_panel(study.panel, salt), f"{folder}/text_data", ["ScheduledDate"])
+    # Everything below reads the stored panel.
+    panel = read_published(spark, folder)
     write_table(study.hits, f"{folder}/message_stops")
     write_table(study.messages, f"{folder}/messages")
     write_table(study.duplicates, f"{folder}/dup_messages")
     write_table(study.unmatched, f"{folder}/no_match_messages")
     write_csv(study.unmatched, f"{folder}/no_match_messages_csv")
-    write_table(study.summary, f"{folder}/summary_stats")
-    write_csv(data_dictionary(panel, "text_data", schemas.TEXT_DATA),
+    write_table(study_summary(study.messages, study.hits, panel, "operator_id_hash", MASKED),
+                f"{folder}/summary_stats")
+    stored = spark.read.parquet(f"{folder}/text_data")
+    write_csv(data_dictionary(stored, "text_data", schemas.TEXT_DATA),
               f"{folder}/text_data_fields")
     write_csv(
         table_dictionary(spark, "text_data", "Work pieces of the text study",
                          "One departure from a stop"),
         f"{folder}/text_data_table",
     )
-    masked = masked_panel(study.panel, salt).withColumn("piece", F.col("work_piece_id"))
-    treated = subset(masked, TREATMENT)
-    post = F.col("treatment_period") == POST_TEXT
-    for outcome, better in (("adherence_secs", "up"), ("early", "down")):
-        save_coefficients(pooled_effect(study.panel, outcome), f"{folder}/pooled_{outcome}")
-        fitted = discontinuity_by(time_points_only(treated), outcome, "relative_stop", post,
-                                  ["work_piece_id"])
-        ranked = rank_effects(effect_table(fitted, better), ["work_piece_id"])
+    save_coefficients(pooled_effects(panel), f"{folder}/pooled_effects")
+    effects = materialise(piece_effects(panel, piece=MASKED))
+    for outcome in OUTCOMES:
+        ranked = rank_effects(effects.where(F.col("outcome") == outcome), MASKED)
         save_coefficients(ranked, f"{folder}/effects_{outcome}")

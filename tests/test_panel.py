@@ -25,7 +25,7 @@ from steadypace.operators.quality import study_summary
 from steadypace.operators.sessions import PIECE
 from steadypace.operators.skew import SkewPolicy
 from steadypace.plans.charts import main_bars, piece_trace, profile_lines
-from steadypace.plans.text_study import piece_effects, pooled_effect
+from steadypace.plans.text_study import piece_effects, pooled_effects
 
 EASY = Criteria(min_early=0.4, min_stops=4, max_secs=-10)
 
@@ -178,10 +178,14 @@ def test_effects_on_the_panel(spark):
     bend = [stop(2 * i, i + 1, secs=-40.0 - 5 * i if i < 6 else 10.0 * i - 100 + (i % 3))
             for i in range(12)]
     panel, _ = build_text_panel(stops(spark, bend), events(spark, [11]), EASY)
-    pooled = dict(rows(pooled_effect(panel, "adherence_secs"), "term", "estimate"))
+    model = pooled_effects(panel, ["adherence_secs"])
+    pooled = dict(rows(model, "term", "estimate"))
     assert pooled["x"] == pytest.approx(-5) and pooled["x:post"] == pytest.approx(15, abs=0.5)
-    bars = rows(main_bars(pooled_effect(panel, "adherence_secs"), False), "position", "label")
+    bars = rows(main_bars(model, False), "position", "label")
     assert bars[0] == (0, "-65")
-    effects = piece_effects(panel, "adherence_secs", "up").collect()
-    assert len(effects) == 1 and effects[0]["outcome_group"] == "Complier"
+    effects = {r["outcome"]: r for r in piece_effects(panel).collect()}
+    assert len(effects) == 2 and effects["adherence_secs"]["outcome_group"] == "Complier"
+    alone = piece_effects(panel, {"adherence_secs": "up"}).first()
+    assert alone["estimate"] == effects["adherence_secs"]["estimate"]
+    assert alone["std_error"] == effects["adherence_secs"]["std_error"]
     assert stack([panel, panel]).count() == 24
