@@ -63,20 +63,36 @@ def _ordinals(stops: DataFrame, policy: SkewPolicy | None) -> DataFrame:
     return renumber(stops, PIECE, ORDER, "stop_ordinal", policy)
 
 
-def message_hits(
-    stops: DataFrame, events: DataFrame, mode: str, policy: SkewPolicy | None
-) -> DataFrame:
-    """Matched (message, stop) pairs with the stop's ordinal in its piece.
+def _of_operators(stops: DataFrame, events: DataFrame) -> DataFrame:
+    """Stops of the operators that have an event, where those fit a broadcast.
 
-    Only operators with a message matter here. A semi join on the session key commutes with the
-    windows, so where the operators fit a broadcast it cuts the log before the shuffle.
+    A semi join on the session key commutes with the windows of the sessionisation, so it may cut
+    the log before the shuffle; beyond a broadcast it would be a shuffle of its own.
     """
-    narrow = stops.select(*ENTITY, "scheduled_date", "scheduled_ts", *ORDER, "stop_name")
     operators = events.select("operator_id").distinct()
-    if is_small(operators):
-        narrow = null_safe_join(narrow, F.broadcast(operators), ["operator_id"], "left_semi")
-    pieces = sessionize(narrow, policy=policy)
-    return attribute_events(_ordinals(pieces, policy), events, mode, policy)
+    if not is_small(operators):
+        return stops
+    return null_safe_join(stops, F.broadcast(operators), ["operator_id"], "left_semi")
+
+
+def _pieces_and_hits(stops, events, mode, policy):
+    """Stops with pieces, ordinals and piece statistics, and the matched (message, stop) pairs."""
+    columns = (*ENTITY, "scheduled_date", "scheduled_ts", *ORDER, "stop_name")
+    hot = find_hot_groups(stops, ENTITY, ORDER[0], policy)
+    if hot is None:
+        # No (trip, operator) is large, so no piece is. Reading the log twice, once for the few
+        # operators with a message, is less work than storing all of its pieces.
+        wanted = sessionize(_of_operators(stops.select(*columns), events), policy=None)
+        hits = attribute_events(_ordinals(wanted, None), events, mode, None)
+        pieces = _ordinals(sessionize(stops, policy=None), None)
+        return with_session_stats(pieces), hits
+    # Cutting hot groups reads the log several times; store the pieces, and look for large ones there.
+    pieces = materialise(sessionize(stops, hot=hot))
+    if find_hot_groups(pieces, PIECE, ORDER[0], policy) is None:
+        policy = None
+    wanted = _ordinals(_of_operators(pieces.select(*columns, PIECE[-1]), events), policy)
+    hits = attribute_events(wanted, events, mode, policy)
+    return with_session_stats(_ordinals(pieces, policy), by_join=True), hits
 
 
 def build_text_panel(
@@ -94,16 +110,11 @@ def build_text_panel(
     """
     if on_multiple not in ON_MULTIPLE:
         raise ValueError(f"on_multiple must be one of {ON_MULTIPLE}, not {on_multiple!r}")
-    hot = find_hot_groups(stops, ENTITY, "departure_ts", policy)
-    if hot is None:
-        policy = None  # no (trip, operator) is large, so no piece is
-    # Few rows, read three times below.
-    hits = materialise(message_hits(stops, events, mode, policy))
+    pieces, hits = _pieces_and_hits(stops, events, mode, policy)
+    hits = materialise(hits)  # few rows, read three times below
     if on_multiple == "error" and not hits.groupBy(*PIECE).count().where("count > 1").isEmpty():
         raise ValueError("a work piece has more than one matched message")
 
-    pieces = _ordinals(sessionize(stops, policy=policy), policy)
-    pieces = with_session_stats(pieces, by_join=hot is not None)
     by_piece = hits.groupBy(*PIECE).agg(
         _pick("stop_ordinal", on_multiple).alias("event_ordinal")
     )

@@ -55,12 +55,16 @@ def sessionize(
     start: str = "scheduled_ts",
     into: str = "piece_start_ts",
     policy: SkewPolicy | None = DEFAULT_POLICY,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Restart the ordinal at each session and carry the session's scheduled start to its rows.
 
-    One shuffle on ``keys``; later windows on (keys, ``into``) reuse it.
+    One shuffle on ``keys``; later windows on (keys, ``into``) reuse it. ``hot`` gives the result of
+    ``find_hot_groups`` where the caller already has it. With hot groups the log is read twice, so
+    materialise the result if several operators read it.
     """
-    hot = find_hot_groups(df, keys, order[0], policy)
+    if hot is None:
+        hot = find_hot_groups(df, keys, order[0], policy)
     if hot is not None:
         return _sessionize_sliced(df, keys, order, seq, start, into, hot)
     # Both windows use the order of the ordinals as they came, not as they were restarted.

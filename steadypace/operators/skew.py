@@ -31,7 +31,7 @@ DERIVED = ("piece_start_ts",)
 class SkewPolicy:
     """When to look for hot groups and what counts as one.
 
-    ``small_input_bytes``: an input the optimizer sizes below this cannot overfill a task even if all
+    ``small_input_bytes``: an input Spark sizes below this cannot overfill a task even if all
     of it is one group, so the count is left out. ``max_group_rows``: rows one task may sort.
     """
 
@@ -43,9 +43,9 @@ DEFAULT_POLICY = SkewPolicy()
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate (file sizes for scans; joins only over-estimate)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Spark's size estimate: file sizes for scans, kept by filters, multiplied by joins, so it errs
+    upwards. Taken from the analysed plan, which needs no optimisation."""
+    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
 
 BROADCAST_BYTES = 16 * 1024 * 1024
@@ -53,7 +53,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` is proven small enough to send to every executor: by the optimizer's upper
+    """Whether ``df`` is proven small enough to send to every executor: by Spark's upper
     bound on its size or else by counting, which stops at the limit."""
     if plan_bytes(df) <= BROADCAST_BYTES:
         return True
