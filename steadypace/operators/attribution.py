@@ -69,25 +69,24 @@ def match_intervals(intervals: DataFrame, events: DataFrame) -> DataFrame:
     start, end = micros(F.col("departure_ts")), micros(F.col("next_departure_ts"))
     scaled = F.log(4.0, (end - start) / F.lit(float(_FINEST)))
     level = F.greatest(F.lit(0), F.least(F.lit(_LEVELS - 1), F.ceil(scaled))).cast("int")
-    width = F.col("_width")
+    width = _width(F.col("_level"))
     binned = (
         intervals.where(F.col("next_departure_ts") > F.col("departure_ts"))
         .withColumn("_level", level)
-        .withColumn("_width", _width(F.col("_level")))
-        .withColumn("_first", F.floor(start / width))
-        .withColumn("_final", F.floor((end - 1) / width))
-        .withColumn("_bin", F.explode(F.sequence("_first", "_final")))
-        .drop("_width", "_first", "_final")
+        .withColumn(
+            "_bin",
+            F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width))),
+        )
     )
     at = micros(F.col("event_ts"))
-    probes = (
-        events.withColumn("_e_level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1))))
-        .withColumn("_e_bin", F.floor(at / _width(F.col("_e_level"))))
-        .withColumnRenamed("operator_id", "_e_operator_id")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(_LEVELS - 1))).alias("_e_level")
+    own = [c for c in events.columns if c != "operator_id"]
+    probes = events.select(*own, F.col("operator_id").alias("_e_operator_id"), levels).withColumn(
+        "_e_bin", F.floor(at / _width(F.col("_e_level")))
     )
     # Few events are sent to the stops; many are shuffled with them on (operator, date, bin).
     return binned.join(
-        F.broadcast(probes) if is_small(events) else probes,
+        F.broadcast(probes) if is_small(events, copies=_LEVELS) else probes,
         [
             F.col("operator_id").eqNullSafe(F.col("_e_operator_id")),
             F.col("scheduled_date") == F.col("event_date"),

@@ -55,7 +55,7 @@ def relative_position(ordinal: Column, event_ordinal: Column, middle: Column) ->
     return F.when(middle.isNotNull(), ordinal - middle).otherwise(ordinal - event_ordinal)
 
 
-def _pick(column: str, on_multiple: str) -> Column:
+def _pick(column: str | Column, on_multiple: str) -> Column:
     return F.max(column) if on_multiple == "last" else F.min(column)
 
 
@@ -121,30 +121,26 @@ def build_text_panel(
     # With few hits the joins below are broadcasts (none has more rows than the hits), and the panel
     # takes the one shuffle of the sessionisation.
     share = F.broadcast if is_small(hits) else lambda df: df
-    kept = null_safe_join(pieces, share(by_piece), PIECE, "left").withColumn(
-        "treated", F.col("event_ordinal").isNotNull()
+    treated = F.col("event_ordinal").isNotNull()
+    kept = null_safe_join(pieces, share(by_piece), PIECE, "left").where(
+        F.coalesce(meets_criteria(criteria), F.lit(False)) | treated
     )
-    kept = kept.where(F.coalesce(meets_criteria(criteria), F.lit(False)) | F.col("treated"))
-    by_stop = (
-        hits.withColumn("_message", F.struct("event_ts", "event_id"))
-        .groupBy(*PIECE, "stop_ordinal")
-        .agg(_pick("_message", on_multiple).alias("_message"))
-        .select(*PIECE, "stop_ordinal", F.col("_message.event_id").alias("message_id"),
-                F.col("_message.event_ts").alias("message_ts"))
+    message = _pick(F.struct("event_ts", "event_id"), on_multiple)
+    by_stop = hits.groupBy(*PIECE, "stop_ordinal").agg(
+        message["event_id"].alias("message_id"), message["event_ts"].alias("message_ts")
     )
     panel = null_safe_join(kept, share(by_stop), (*PIECE, "stop_ordinal"), "left")
     panel = attach_entity_count(panel, entity_counts(hits), share)
-    middle = F.when(~F.col("treated"), F.floor(F.col("stops") / 2))
-    panel = (
-        panel.withColumn("middle_stop", middle)
-        .withColumn(
-            "relative_stop",
-            relative_position(F.col("stop_ordinal"), F.col("event_ordinal"), F.col("middle_stop")),
-        )
-        .withColumn("treatment_group", assign_groups(F.col("treated")))
-        .withColumn("treatment_period", assign_period(F.col("relative_stop"), F.col("treated")))
-        .drop("event_ordinal", "treated", "stop_sequence")
-    )
+    middle = F.when(~treated, F.floor(F.col("stops") / 2))
+    relative = relative_position(F.col("stop_ordinal"), F.col("event_ordinal"), middle)
+    panel = panel.withColumns(
+        {
+            "middle_stop": middle,
+            "relative_stop": relative,
+            "treatment_group": assign_groups(treated),
+            "treatment_period": assign_period(relative, treated),
+        }
+    ).drop("event_ordinal", "stop_sequence")
     return panel, hits
 
 

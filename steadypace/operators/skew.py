@@ -48,16 +48,18 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
 
-BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_BYTES = 24 * 1024 * 1024  # on disk, compressed
 BROADCAST_ROWS = 1_000_000
 
 
-def is_small(df: DataFrame) -> bool:
+def is_small(df: DataFrame, copies: int = 1) -> bool:
     """Whether ``df`` is proven small enough to send to every executor: by Spark's upper
-    bound on its size or else by counting, which stops at the limit."""
-    if plan_bytes(df) <= BROADCAST_BYTES:
+    bound on its size or else by counting, which stops at the limit. ``copies`` is the
+    number of rows that will be sent for each of its rows."""
+    if plan_bytes(df) * copies <= BROADCAST_BYTES:
         return True
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    limit = BROADCAST_ROWS // copies
+    return df.limit(limit + 1).count() <= limit
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:

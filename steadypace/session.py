@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # No stack walk per column expression while a plan is built.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # A panel compiles some hundred expressions; the default cache of 100 would recompile them.
+    "spark.sql.codegen.cache.maxEntries": "2000",
     "spark.ui.enabled": "false",
 }
 
