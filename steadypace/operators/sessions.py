@@ -16,6 +16,7 @@ from steadypace.functions.scalars import micros
 from steadypace.operators.skew import (
     DEFAULT_POLICY,
     SLICE,
+    HotGroups,
     SkewPolicy,
     add_slices,
     find_hot_groups,
@@ -55,7 +56,7 @@ def sessionize(
     start: str = "scheduled_ts",
     into: str = "piece_start_ts",
     policy: SkewPolicy | None = DEFAULT_POLICY,
-    hot: DataFrame | None = None,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Restart the ordinal at each session and carry the session's scheduled start to its rows.
 

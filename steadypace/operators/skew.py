@@ -2,12 +2,13 @@
 
 A window function sends a whole group to one task. Groups here are (trip, operator) pairs or work
 pieces: normally a few hundred rows, but a dummy or missing id can collect a large share of the log.
-Such groups are found by an exact count and cut into time slices of a bounded size; windows then run
-per (group, slice), and what they miss at the cut is filled in from one summary row per slice.
+Such groups are found by an exact count and cut along time into slices of about the same number of
+rows; windows then run per (group, slice), and what they miss at a cut is filled in from one summary
+row per slice.
 
-Three sizes are bounded by construction, which is why they may be collected or broadcast:
-hot groups <= rows / max_group_rows, slices <= 4 * rows / max_group_rows + 2 per hot group,
-and summary rows = slices.
+Three sizes are bounded by construction, which is why they may be collected or broadcast: hot groups
+<= rows / max_group_rows; time cells <= 32 * rows / max_group_rows + 2 per hot group; and slices, of
+which there is one summary row each, <= cells.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from steadypace.functions.scalars import micros
+from steadypace.session import materialise
 
 SLICE = "_slice"
 # Key columns computed by windows. Counting without them bounds the group sizes from above and lets the
@@ -42,6 +44,15 @@ class SkewPolicy:
 DEFAULT_POLICY = SkewPolicy()
 
 
+@dataclass(frozen=True)
+class HotGroups:
+    """``groups``: keys with the origin and width of their time cells; ``cells``: the slice of each
+    cell that has rows."""
+
+    groups: DataFrame
+    cells: DataFrame
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Spark's size estimate: file sizes for scans, kept by filters, multiplied by joins, so it errs
     upwards. Taken from the analysed plan, which needs no optimisation."""
@@ -79,8 +90,8 @@ def _large_groups(df: DataFrame, keys: Sequence[str], ts: str, policy: SkewPolic
 
 def find_hot_groups(
     df: DataFrame, keys: Sequence[str], ts: str, policy: SkewPolicy | None
-) -> DataFrame | None:
-    """Groups above the row limit with their slice width, or None if there are none."""
+) -> HotGroups | None:
+    """Groups above the row limit and how to slice them, or None if there are none."""
     if policy is None or plan_bytes(df) <= policy.small_input_bytes:
         return None
     plain = [k for k in keys if k not in DERIVED]
@@ -91,14 +102,28 @@ def find_hot_groups(
         return None
     hot = []
     for row in rows:
-        pieces = -(-4 * row["_n"] // policy.max_group_rows)
+        cells = -(-32 * row["_n"] // policy.max_group_rows)
         low, high = row["_lo"] or 0, row["_hi"] or 0
-        hot.append((*(row[k] for k in keys), low, (high - low) // pieces + 1))
+        hot.append((*(row[k] for k in keys), low, (high - low) // cells + 1))
     schema = T.StructType(
         [T.StructField(k, df.schema[k].dataType) for k in keys]
         + [T.StructField("_lo", T.LongType()), T.StructField("_width", T.LongType())]
     )
-    return df.sparkSession.createDataFrame(hot, schema)
+    groups = df.sparkSession.createDataFrame(hot, schema)
+    # Rows are not spread evenly over time, so neighbouring cells are joined up to a quarter of the
+    # limit. Windows over cells see a bounded number of them.
+    inside = null_safe_join(df.select(*keys, ts), F.broadcast(groups), keys)
+    counts = inside.groupBy(*keys, _cell(ts).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    target = max(policy.max_group_rows // 4, 1)
+    number = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target) + 1
+    return HotGroups(groups, materialise(counts.select(*keys, "_cell", number.alias(SLICE))))
+
+
+def _cell(ts: str) -> Column:
+    """Time cell of a row of a hot group; missing times come last."""
+    cell = F.floor((micros(F.col(ts)) - F.col("_lo")) / F.col("_width"))
+    return F.coalesce(cell.cast("long"), F.lit(2**62).cast("long"))
 
 
 def null_safe_join(
@@ -113,16 +138,14 @@ def null_safe_join(
     return joined.drop(*(f"_r_{k}" for k in keys))
 
 
-def add_slices(df: DataFrame, keys: Sequence[str], ts: str, hot: DataFrame) -> DataFrame:
-    """Slice number per row: 0 in ordinary groups, 1.. along time in hot ones, missing times last."""
-    marked = null_safe_join(df, F.broadcast(hot), keys, "left")
-    at = micros(F.col(ts))
-    number = F.floor((at - F.col("_lo")) / F.col("_width")) + 1
-    last = F.lit(2**62).cast("long")
-    slice_number = F.when(F.col("_width").isNull(), F.lit(0).cast("long")).otherwise(
-        F.coalesce(number.cast("long"), last)
+def add_slices(df: DataFrame, keys: Sequence[str], ts: str, hot: HotGroups) -> DataFrame:
+    """Slice number per row: 0 in ordinary groups, 1.. along time in hot ones."""
+    marked = null_safe_join(df, F.broadcast(hot.groups), keys, "left")
+    marked = marked.withColumn("_cell", F.when(F.col("_width").isNotNull(), _cell(ts)))
+    placed = null_safe_join(marked, F.broadcast(hot.cells), (*keys, "_cell"), "left")
+    return placed.withColumn(SLICE, F.coalesce(SLICE, F.lit(0).cast("long"))).drop(
+        "_lo", "_width", "_cell"
     )
-    return marked.withColumn(SLICE, slice_number).drop("_lo", "_width")
 
 
 def ordering(columns: Sequence[str]) -> list[Column]:

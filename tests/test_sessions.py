@@ -22,7 +22,7 @@ from steadypace.operators.sessions import (
     session_start,
     sessionize,
 )
-from steadypace.operators.skew import SkewPolicy, find_hot_groups, is_small
+from steadypace.operators.skew import SkewPolicy, add_slices, find_hot_groups, is_small
 
 ALWAYS = SkewPolicy(max_group_rows=10, small_input_bytes=0)
 
@@ -82,7 +82,11 @@ def noisy_log(spark, seed=3, n=400):
 def test_hot_groups_are_found_and_sized(spark):
     log = noisy_log(spark)
     hot = find_hot_groups(log, ["trip_id", "operator_id"], "departure_ts", ALWAYS)
-    assert [(r["trip_id"], r["operator_id"]) for r in hot.collect()] == [(None, "O")]
+    assert [(r["trip_id"], r["operator_id"]) for r in hot.groups.collect()] == [(None, "O")]
+    sliced = add_slices(log, ["trip_id", "operator_id"], "departure_ts", hot)
+    sizes = dict(rows(sliced.groupBy("_slice").count()))
+    assert sizes.pop(0) == 30  # ordinary groups stay whole
+    assert sum(sizes.values()) == 400 and sorted(sizes)[0] == 1 and max(sizes.values()) <= 20
     assert find_hot_groups(log, ["trip_id"], "departure_ts", SkewPolicy()) is None
     assert is_small(log)
 
