@@ -132,7 +132,9 @@ BETWEEN = "between two pieces"
 SUPERSEDED = "later message that day"
 
 
-def classify_unmatched(unmatched: DataFrame, stops: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+def classify_unmatched(
+    unmatched: DataFrame, stops: DataFrame, hits: DataFrame | None = None
+) -> DataFrame:
     """Why an event has no stop, from its operator-day's first and last departure.
 
     ``duplicate_stop_time`` tells whether that operator-day has rows of one trip with the same

@@ -32,7 +32,9 @@ def subset(df: DataFrame, group: str | None = None, period: str | None = None,
     return df
 
 
-def event_profile(panel: DataFrame, by: Sequence[str] = ("relative_stop", "treatment_group")) -> DataFrame:
+def event_profile(
+    panel: DataFrame, by: Sequence[str] = ("relative_stop", "treatment_group")
+) -> DataFrame:
     """Stops, mean early (missing left out) and exact median seconds (missing makes it missing).
 
     Rows are first counted per distinct adherence value, so a group of any size is spread over many

@@ -15,6 +15,7 @@ from steadypace.functions.scalars import (
 )
 from steadypace.operators.cohort import semi_join
 from steadypace.operators.daily import discipline_days
+from steadypace.operators.skew import broadcast_if_small
 
 # Defaults of the study (fixed values).
 DISPATCHER = 222
@@ -34,16 +35,21 @@ def read_messages(comm: DataFrame, snapshot: DataFrame, operator: DataFrame, sta
                   with_text: bool = True) -> DataFrame:
     """Messages with the operator logged on in the vehicle snapshot of the same second.
 
-    The snapshot joins left and the operator inner on its driver, so a message without a snapshot
-    drops out. ``end`` as a bare date means its midnight.
+    The operator must be known, so a message without a snapshot drops out and the snapshot join is an
+    inner one. Few messages are sent to the snapshots, which are then not shuffled. ``end`` as a bare
+    date means its midnight.
     """
     sent = comm.where(between_closed(F.col("message_time"), start, end))
     if dispatcher is not None:
         sent = sent.where(F.col("dispatcher_id") == dispatcher)
     if pattern is not None:
         sent = sent.where(text_contains(F.col("message_data"), pattern))
-    seen = join_same_second(sent, snapshot, "message_time", "snapshot_time")
-    known = seen.join(operator, F.col("operator_id") == F.col("driver_id"), "inner")
+    seen = join_same_second(
+        broadcast_if_small(sent), snapshot, "message_time", "snapshot_time", "inner"
+    )
+    known = seen.join(
+        broadcast_if_small(operator), F.col("operator_id") == F.col("driver_id"), "inner"
+    )
     day, time = split_timestamp(F.col("message_time"))
     columns = [
         day.alias("event_date"),
