@@ -81,7 +81,7 @@ def blocks(inside: np.ndarray, breaks: np.ndarray, size: int = BLOCK) -> Iterato
 class Words:
     """Words of a batch: hash, byte range, and per document the range of its words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, prefix: int = 0):
         self.data, self.offsets = data, offsets
         n = len(data)
         inside = word_bytes[data]
@@ -94,6 +94,8 @@ class Words:
         self.starts = np.flatnonzero(inside & (breaks[:n] | ~before))
         self.ends = np.flatnonzero(inside & (breaks[1:] | ~after)) + 1
         self.hashes = np.empty(len(self.starts), U)
+        # Hash of the first ``prefix`` bytes; 0 for words that are not longer.
+        self.prefixes = np.zeros(len(self.starts) if prefix else 0, U)
         for lo, hi in blocks(inside, breaks[:n]):
             up, down = powers(hi - lo + 1)
             sums = np.zeros(hi - lo + 1, U)
@@ -101,6 +103,10 @@ class Words:
             a, b = np.searchsorted(self.starts, (lo, hi))
             s, e = self.starts[a:b] - lo, self.ends[a:b] - lo
             self.hashes[a:b] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
+            if prefix:
+                long = np.flatnonzero(e - s > prefix)
+                head = s[long]
+                self.prefixes[a:b][long] = mix((sums[head + prefix] - sums[head]) * down[head])
         self.documents = np.searchsorted(self.starts, offsets)
 
     def counts(self) -> np.ndarray:
@@ -110,9 +116,9 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts())
 
 
-def batch_words(column: pa.Array, word_bytes: np.ndarray, fold: bool = True) -> Words:
+def batch_words(column: pa.Array, word_bytes: np.ndarray, fold: bool = True, prefix: int = 0) -> Words:
     data, offsets = text_buffers(column)
-    return Words(lower_ascii(data) if fold else data, offsets, word_bytes)
+    return Words(lower_ascii(data) if fold else data, offsets, word_bytes, prefix)
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = 8 * BLOCK) -> Iterator[pa.RecordBatch]:

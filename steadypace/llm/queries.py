@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from steadypace.llm import quality, toxicity
+from steadypace.llm.decontaminate import contamination, report
+from steadypace.llm.licenses import KNOWN, known_licenses, scan_licenses
 from steadypace.llm.near_dedup import near_duplicates
 from steadypace.llm.packing import piece_digests
+from steadypace.llm.sharding import kd_shards
+from steadypace.llm.urls import judge_urls
+
+# The rules the query asks for.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
+             ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -18,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -26,5 +41,36 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_packing)}
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dimensions = {"length": F.log1p(F.length("text")), "source_key": F.crc32(F.col("source").cast("binary")),
+                  "lang_key": F.crc32(F.col("lang").cast("binary"))}
+    return kd_shards(docs, dimensions, shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_near_dedup, op3_packing, op4_decontamination, op7_sharding, op8_licenses, op9_toxicity,
+    op10_urls,
+)}
 ORACLE: dict[str, str] = {}
