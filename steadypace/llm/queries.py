@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from steadypace.llm import quality, toxicity
 from steadypace.llm.decontaminate import contamination, report
+from steadypace.llm.fingerprints import fingerprints
 from steadypace.llm.licenses import KNOWN, known_licenses, scan_licenses
 from steadypace.llm.near_dedup import near_duplicates
 from steadypace.llm.packing import piece_digests
+from steadypace.llm.pages import main_text
 from steadypace.llm.sharding import kd_shards
 from steadypace.llm.urls import judge_urls
 
@@ -45,6 +47,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dimensions = {"length": F.log1p(F.length("text")), "source_key": F.crc32(F.col("source").cast("binary")),
@@ -70,7 +80,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_near_dedup, op3_packing, op4_decontamination, op7_sharding, op8_licenses, op9_toxicity,
-    op10_urls,
+    op1_quality, op2_near_dedup, op3_packing, op4_decontamination, op5_main_text,
+    op6_fingerprints, op7_sharding, op8_licenses, op9_toxicity, op10_urls,
 )}
 ORACLE: dict[str, str] = {}
