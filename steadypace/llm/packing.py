@@ -142,7 +142,7 @@ class Packer:
         for doc, start, ids, total in left:
             at, length = 0, len(ids) // 4
             for size in halves:
-                if length - at >= size > 0:
+                while length - at >= size > 0:
                     self._place(doc, start + at, ids[4 * at : 4 * (at + size)], total)
                     at += size
         for _, held in sorted(self.bins.items()):

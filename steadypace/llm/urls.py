@@ -46,6 +46,7 @@ def _digest(host: Column, path: Column) -> Column:
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow",
                longest_path: int = 2048) -> DataFrame:
     """Per row of ``pages``: page_id, host, path, rule, verdict. ``rules``: host, path, verdict."""
+    pages = pages.select("page_id", "url")
     rules = rules.select(
         F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"),
         "verdict",

@@ -6,8 +6,8 @@ that repeats right after itself is folded into a repeated group; and where the s
 found in one only becomes an optional group. The result is again a stream of that kind, with no union in
 it, so pages, and wrappers of parts of a host, are aligned one after the other in any number.
 
-A node is a list [label, kind, children, chars]: kind is one of "1", "?", "+", "*"; a text child is
-["#", kind, hash of the template text or None for a slot, chars seen].
+A node is a list [label, kind, children, chars, pages]: kind is one of "1", "?", "+", "*"; a text child is
+["#", kind, hash of the template text or None for a slot, chars seen, pages].
 """
 
 from __future__ import annotations
@@ -156,15 +156,15 @@ def wrapper_of(node: list) -> list:
             text = clean(child)
             if not text:
                 continue
-            new = ["#", "1", zlib.crc32(text.encode()), len(text)]
+            new = ["#", "1", zlib.crc32(text.encode()), len(text), 1]
         else:
             new = wrapper_of(child)
         if children and children[-1][0] == new[0] != "#":
             children[-1] = _merge(children[-1], new)
-            children[-1][1] = "+"
+            children[-1][1], children[-1][4] = "+", 1
         else:
             children.append(new)
-    return [node[0], "1", children, sum(c[3] for c in children)]
+    return [node[0], "1", children, sum(c[3] for c in children), 1]
 
 
 def _kind(a: str, b: str) -> str:
@@ -178,8 +178,8 @@ def _optional(node: list) -> list:
 
 def _merge(a: list, b: list) -> list:
     if a[0] == "#":
-        return ["#", _kind(a[1], b[1]), a[2] if a[2] == b[2] else None, a[3] + b[3]]
-    return [a[0], _kind(a[1], b[1]), align(a[2], b[2]), a[3] + b[3]]
+        return ["#", _kind(a[1], b[1]), a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4]]
+    return [a[0], _kind(a[1], b[1]), align(a[2], b[2]), a[3] + b[3], a[4] + b[4]]
 
 
 def align(a: list, b: list) -> list:
@@ -214,7 +214,7 @@ def region(wrapper: list) -> tuple[list[str], list[int]]:
     """Where the article is: the labels from the root down, and hashes of template texts in it that enough
     pages share. An article or main element with most of the text wins; else the walk goes down while
     one child that is no aside holds most of the text."""
-    pages, root = wrapper
+    root = wrapper[1]
 
     def marked(node: list, path: list[str]) -> list[tuple[int, list[str], list]]:
         found = []
@@ -236,7 +236,7 @@ def region(wrapper: list) -> tuple[list[str], list[int]]:
         return 0 if is_aside(node[0]) else sum(map(body, node[2]))
 
     choices = marked(root, [])
-    if choices:
+    if choices and 2 * max(choices, key=lambda c: c[0])[0] >= body(root):
         _, path, node = max(choices, key=lambda c: c[0])
     else:
         node, path = root, []
@@ -250,8 +250,7 @@ def region(wrapper: list) -> tuple[list[str], list[int]]:
                 break
             node, path = best, [*path, best[0]]
     fixed: list[int] = []
-    if pages >= TEMPLATE_PAGES:
-        _fixed(node, fixed)
+    _fixed(node, fixed)
     return path, fixed
 
 
@@ -261,7 +260,7 @@ TEMPLATE_PAGES = 20
 def _fixed(node: list, out: list[int]) -> None:
     for child in node[2]:
         if child[0] == "#":
-            if child[1] == "1" and child[2] is not None:
+            if child[1] == "1" and child[2] is not None and child[4] >= TEMPLATE_PAGES:
                 out.append(child[2])
         elif child[1] == "1":
             _fixed(child, out)
