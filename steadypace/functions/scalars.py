@@ -92,7 +92,11 @@ def label_every(position: Column, label: Column, step: int = 20) -> Column:
 
 def percent_label(rate: Column) -> Column:
     """Rate as percent text, cut after five characters."""
-    return F.concat(F.substring((rate * 100).cast("string"), 1, 5), F.lit("%"))
+    # Doubles below a thousandth print in exponent form; those are spelled out before the cut.
+    percent = rate * 100
+    small = (percent != 0) & (F.abs(percent) < 0.001)
+    plain = F.when(small, F.format_number(percent, 12)).otherwise(percent.cast("string"))
+    return F.concat(F.substring(plain, 1, 5), F.lit("%"))
 
 
 def ordinal_of(category: Column, levels: Sequence[str]) -> Column:

@@ -125,6 +125,7 @@ def unmatched_events(events: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 # Reasons, in the order they are tested (fixed values).
+NO_TIME = "Event without a time"
 NO_LOG = "no log rows that day"
 BEFORE_FIRST = "before first departure"
 AFTER_LAST = "after last departure"
@@ -158,7 +159,8 @@ def classify_unmatched(
     )
     at, first = F.col("event_ts"), F.col("first_departure_ts")
     reason = (
-        F.when(first.isNull(), NO_LOG)
+        F.when(at.isNull(), NO_TIME)
+        .when(first.isNull(), NO_LOG)
         .when(at < first, BEFORE_FIRST)
         .when(at >= F.col("last_departure_ts"), AFTER_LAST)
     )

@@ -235,11 +235,15 @@ def step_models(
 ) -> list[StepModel]:
     """Fit y ~ poly(x, degree) + post for several outcomes in one pass.
 
-    The step, its standard error and the fitted values do not depend on the polynomial basis. Sums
-    of powers are taken of x/scale, so give a scale near the largest |x|; only those sums, one row,
-    reach the driver, where a (degree+2) square system is solved.
+    The step, its standard error and the fitted values do not depend on the polynomial basis. A first
+    row, the mean and spread of x, gives the basis in which sums of powers are well conditioned wherever
+    x lies; only those sums, one row, reach the driver, where a (degree+2) square system is solved. The
+    coefficients are given for powers of x/scale.
     """
-    z = F.col(x).cast("double") / F.lit(scale)
+    at = F.col(x).cast("double")
+    centre, spread = df.agg(F.avg(at), F.stddev_pop(at)).first()
+    centre, spread = float(centre or 0.0), float(spread or 0.0) or 1.0
+    z = (at - F.lit(centre)) / F.lit(spread)
     flag = F.when(post, 1.0).otherwise(0.0)
     columns = []
     for i, name in enumerate(ys):
@@ -256,10 +260,10 @@ def step_models(
             F.regr_syy(F.when(used, y), F.when(used, z)).alias(f"m{i}_syy"),
         ]
     row = df.agg(*columns).collect()[0]
-    return [_solve_step(row, i, degree, scale) for i in range(len(ys))]
+    return [_solve_step(row, i, degree, scale, centre, spread) for i in range(len(ys))]
 
 
-def _solve_step(row, i: int, degree: int, scale: float) -> StepModel:
+def _solve_step(row, i: int, degree: int, scale: float, centre: float, spread: float) -> StepModel:
     get = lambda k: float(row[f"m{i}_{k}"] or 0.0)
     p = degree + 2
     xtx, xty = np.empty((p, p)), np.empty(p)
@@ -282,8 +286,14 @@ def _solve_step(row, i: int, degree: int, scale: float) -> StepModel:
     beta = np.linalg.solve(scaled, centred / d) / d
     rss = max(syy - float(beta @ centred), 0.0)
     inverse = np.linalg.inv(scaled) / np.outer(d, d)
-    errors = np.sqrt(rss / dof * np.diag(inverse))
     beta[0] += mean
+    # From powers of (x - centre) / spread to powers of x / scale.
+    change, power = np.eye(p), np.poly1d([1.0])
+    for k in range(degree + 1):
+        change[: degree + 1, k] = np.pad(power.coeffs[::-1], (0, degree + 1 - len(power.coeffs)))
+        power = power * np.poly1d([scale / spread, -centre / spread])
+    beta, inverse = change @ beta, change @ inverse @ change.T
+    errors = np.sqrt(rss / dof * np.maximum(np.diag(inverse), 0))
     r2 = 1 - rss / syy if syy > 0 else math.nan
     adjusted = 1 - (1 - r2) * (n - 1) / dof
     return StepModel(tuple(map(float, beta)), tuple(map(float, errors)), scale, n, dof, rss,

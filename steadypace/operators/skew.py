@@ -61,16 +61,22 @@ def plan_bytes(df: DataFrame) -> int:
 
 BROADCAST_BYTES = 24 * 1024 * 1024  # on disk, compressed
 BROADCAST_ROWS = 1_000_000
+MEMORY_BYTES = 128 * 1024 * 1024  # of the counted values
 
 
 def is_small(df: DataFrame, copies: int = 1) -> bool:
-    """Whether ``df`` is proven small enough to send to every executor: by Spark's upper
-    bound on its size or else by counting, which stops at the limit. ``copies`` is the
-    number of rows that will be sent for each of its rows."""
+    """Whether ``df`` is proven small enough to send to every executor: by Spark's upper bound on its
+    size or else by counting rows and the bytes of their texts. The count is an aggregate, so no rows
+    meet in one task. ``copies`` is the number of rows that will be sent for each of its rows."""
     if plan_bytes(df) * copies <= BROADCAST_BYTES:
         return True
-    limit = BROADCAST_ROWS // copies
-    return df.limit(limit + 1).count() <= limit
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema
+             if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    row = F.lit(8 * len(df.columns))
+    for text in texts:
+        row = row + text
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(row)).first()
+    return rows * copies <= BROADCAST_ROWS and (size or 0) * copies <= MEMORY_BYTES
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:

@@ -141,3 +141,21 @@ def test_critical_value_expression(spark):
     found = dict(rows(df.withColumn("c", critical_value_column(F.col("d")))))
     assert found[0] is None
     assert [found[d] for d in dofs] == pytest.approx(list(critical_values(dofs)), rel=1e-9)
+
+
+def test_step_model_far_from_the_origin(spark):
+    import numpy as np
+
+    from steadypace.operators.ols import step_model
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(2000, 2121, 3000).astype(float)
+    y = 0.4 + 1e-4 * (x - 2060) + 0.096 * (x >= 2060) + rng.normal(0, 0.1, len(x))
+    frame = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    fitted = step_model(frame, "y", "x", F.col("x") >= 2060)
+    z = (x - x.mean()) / x.std()
+    dense = np.stack([np.ones_like(z), z, z**2, z**3, (x >= 2060) * 1.0], 1)
+    beta, rss, _, _ = np.linalg.lstsq(dense, y, rcond=None)
+    error = np.sqrt(rss[0] / (len(x) - 5) * np.linalg.inv(dense.T @ dense)[-1, -1])
+    assert abs(fitted.coefficients[-1] - beta[-1]) < 1e-6 * abs(beta[-1])
+    assert abs(fitted.std_errors[-1] - error) < 1e-6 * error

@@ -236,3 +236,12 @@ def test_whole_discipline_study(spark, folder, tmp_path):
     assert saved.columns == list(schemas.DISCIPLINE_DATA) and saved.count() > 0
     model = load_step_model(spark, f"{tmp_path}/step_early_rate")
     assert model.n == saved.count()
+
+
+def test_percent_label_of_small_rates(spark):
+    from pyspark.sql import functions as F
+
+    from steadypace.functions.scalars import percent_label
+
+    frame = spark.createDataFrame([(0.0000012,), (0.4123,), (0.0,), (None,)], "r double")
+    assert [r[0] for r in frame.select(percent_label(F.col("r"))).collect()] == ["0.000%", "41.23%", "0.0%", None]
