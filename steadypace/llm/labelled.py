@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +31,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     # At most 2 * per_class ids: a bound that no input moves.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     return rows.withColumn("weight", weight).dropDuplicates(["doc_id"])
+
+
+def calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and shift that turn margins into log-odds of the labels (logistic regression on one number,
+    by Newton steps, with a light ridge on the slope). Margins are taken in units of their spread."""
+    unit = float(margin.std()) or 1.0
+    x = np.stack([margin / unit, np.ones_like(margin)], 1)
+    w = weight / weight.sum()
+    b = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        grad = x.T @ (w * (p - y)) + np.array([ridge * b[0], 0])
+        curve = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag([ridge, 1e-9])
+        step = np.linalg.solve(curve, grad)
+        b -= step * min(1.0, 2 / max(np.abs(step).max(), 1e-12))
+    return float(b[0] / unit), float(b[1])

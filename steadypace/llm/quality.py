@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from steadypace.llm.common import with_package
 from steadypace.llm.hashing import SPACE, U, Words, ngrams, slices, text_buffers
-from steadypace.llm.labelled import held_out, training_rows
+from steadypace.llm.labelled import calibrate, held_out, training_rows
 
 BITS = 16
 NGRAMS = (3, 4)
@@ -101,8 +101,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, epochs: int
     vectors = rng.uniform(-1, 1, (ROWS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     out, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen, seen_out, seen_bias = np.full((ROWS, 1), 1e-10, np.float32), 1e-8, 1e-8
+    # Every fifth row is kept from the descent, to set slope and shift by.
+    aside = np.arange(len(rows)) % 5 == 4
+    if len(set(y[aside].tolist())) < 2 or len(set(y[~aside].tolist())) < 2:
+        aside[:] = False
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(np.flatnonzero(~aside))
         for lo in range(0, len(order), batch):
             part = order[lo : lo + batch]
             sizes = np.array([len(ids[i]) for i in part])
@@ -127,7 +131,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, epochs: int
             seen_bias += float((p.sum(0) ** 2).mean())
             bias -= rate * p.sum(0) / np.sqrt(seen_bias)
     lean = out[:, 1] - out[:, 0]
-    return QualityModel((vectors @ lean).astype(np.float32), float(bias[1] - bias[0]))
+    table = (vectors @ lean).astype(np.float64)
+    # Averages of long texts have small margins: scaled to the labels' odds, classes weighing alike.
+    margin = np.array([table[i] @ s for i, s in zip(ids, shares)])
+    known = aside if aside.any() else ~aside
+    margin, y = margin[known], y[known]
+    even = np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum())
+    slope, shift = calibrate(margin, y, even)
+    return QualityModel((table * slope).astype(np.float32), shift)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from steadypace.llm.common import with_package
 from steadypace.llm.hashing import ALNUM, U, Words, batch_words, mix, slices
-from steadypace.llm.labelled import held_out, training_rows
+from steadypace.llm.labelled import calibrate, held_out, training_rows
 
 BITS = 18
 PREFIX = 5
@@ -253,8 +253,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Toxicity
         votes[i, 1 + WORD_VOTERS + voters.head_voter[head[head >= 0]]] = 1
         signs = (at >= 0).sum() + (head >= 0).sum()
         votes[i, -2], votes[i, -1] = signs >= 2, signs * 400 >= max(len(words), 1)
-    weights, bias = fit_linear(bags, model.posterior(votes), weight)
-    return ToxicityModel(weights, bias, model)
+    # Every fifth row is kept from the fit, to set slope and shift by its label.
+    aside = np.arange(len(bags)) % 5 == 4
+    if len(set(y[aside].tolist())) < 2 or not (~aside).any():
+        aside[:] = False
+    kept = np.flatnonzero(~aside)
+    weights, _ = fit_linear([bags[i] for i in kept], model.posterior(votes)[kept], weight[kept])
+    # Thresholding keeps weights small: margins are scaled to the labels' odds.
+    slots = [np.unique(np.concatenate(b) >> U(64 - BITS)).astype(np.int64) for b in bags]
+    known = np.flatnonzero(aside) if aside.any() else kept
+    margin, y = np.array([weights[slots[i]].sum() for i in known]), y[known]
+    even = np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum())
+    slope, shift = calibrate(margin, y, even, 1e-4)
+    return ToxicityModel(weights * slope, shift, model)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
