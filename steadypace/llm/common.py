@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from steadypace.session import materialise
 
+LINKS_PER_TASK = 500_000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -57,9 +58,12 @@ def components(edges: DataFrame, limit: int = 100) -> DataFrame:
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = None
+    # The steps never add links, so one count says how many tasks they are worth.
+    tasks = max(1, -(-links.count() // LINKS_PER_TASK))
+    links, seen = links.coalesce(tasks), None
     for _ in range(limit):
-        links = materialise(_star(_star(links, large=True), large=False))
+        wide = _star(links, large=True).coalesce(tasks)
+        links = materialise(_star(wide, large=False).distinct().coalesce(tasks))
         now = tuple(links.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first())
@@ -87,4 +91,4 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         out = tied.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return out.where(F.col("u") != F.col("v"))
