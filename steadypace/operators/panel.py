@@ -78,7 +78,7 @@ def _of_operators(stops: DataFrame, events: DataFrame) -> DataFrame:
 def _pieces_and_hits(stops, events, mode, policy):
     """Stops with pieces, ordinals and piece statistics, and the matched (message, stop) pairs."""
     columns = (*ENTITY, "scheduled_date", "scheduled_ts", *ORDER, "stop_name")
-    hot = find_hot_groups(stops, ENTITY, ORDER[0], policy)
+    hot = find_hot_groups(stops, ENTITY, policy)
     if hot is None:
         # No (trip, operator) is large, so no piece is. Reading the log twice, once for the few
         # operators with a message, is less work than storing all of its pieces.
@@ -88,7 +88,7 @@ def _pieces_and_hits(stops, events, mode, policy):
         return with_session_stats(pieces), hits
     # Cutting hot groups reads the log several times; store the pieces, and look for large ones there.
     pieces = materialise(sessionize(stops, hot=hot))
-    if find_hot_groups(pieces, PIECE, ORDER[0], policy) is None:
+    if find_hot_groups(pieces, PIECE, policy) is None:
         policy = None
     wanted = _ordinals(_of_operators(pieces.select(*columns, PIECE[-1]), events), policy)
     hits = attribute_events(wanted, events, mode, policy)

@@ -88,10 +88,11 @@ def weekly_counts(df: DataFrame, at: str, kind: str, by_year: bool = False) -> D
     ).withColumn("intervention_type", F.lit(kind))
 
 
-def weekly_texts(panel: DataFrame, by_year: bool = False) -> DataFrame:
-    """Distinct message times of the panel by week."""
-    times = panel.where(F.col("message_ts").isNotNull()).select("message_ts").distinct()
-    return weekly_counts(times, "message_ts", "Live Texts", by_year)
+def weekly_texts(hits: DataFrame, by_year: bool = False) -> DataFrame:
+    """Distinct message times by week, from the matched messages: of several at one stop the panel
+    shows only one."""
+    times = hits.where(F.col("event_ts").isNotNull()).select("event_ts").distinct()
+    return weekly_counts(times, "event_ts", "Live Texts", by_year)
 
 
 def weekly_disciplines(days: DataFrame, by_year: bool = False) -> DataFrame:

@@ -65,7 +65,7 @@ def sessionize(
     materialise the result if several operators read it.
     """
     if hot is None:
-        hot = find_hot_groups(df, keys, order[0], policy)
+        hot = find_hot_groups(df, keys, policy)
     if hot is not None:
         return _sessionize_sliced(df, keys, order, seq, start, into, hot)
     # Both windows use the order of the ordinals as they came, not as they were restarted.
@@ -81,7 +81,7 @@ def sessionize(
 
 
 def _sessionize_sliced(df, keys, order, seq, start, into, hot):
-    sliced = add_slices(df, keys, order[0], hot).withColumn("_seq_in", F.col(seq))
+    sliced = add_slices(df, keys, order, hot).withColumn("_seq_in", F.col(seq))
     w = Window.partitionBy(*keys, SLICE).orderBy(
         *ordering([c if c != seq else "_seq_in" for c in order])
     )
@@ -115,8 +115,7 @@ def _sessionize_sliced(df, keys, order, seq, start, into, hot):
         .over(along.rowsBetween(Window.unboundedPreceding, -1))
         .alias("_carried"),
     )
-    # One row per slice of a hot group: bounded (see skew), so it may be broadcast.
-    joined = null_safe_join(local, F.broadcast(edges), (*keys, SLICE), "left")
+    joined = null_safe_join(local, hot.share(edges), (*keys, SLICE), "left")
     joined = joined.withColumn(
         "_before", F.when(cut, F.col("_previous_seq")).otherwise(F.col("_before"))
     ).withColumn(seq, restart(F.col("_before"), F.col("_seq_in")))
@@ -180,16 +179,16 @@ def next_value(
     policy: SkewPolicy | None = DEFAULT_POLICY,
 ) -> DataFrame:
     """Values of the following row in the group, as ``{column: new name}``."""
-    hot = find_hot_groups(df, keys, order[0], policy)
+    hot = find_hot_groups(df, keys, policy)
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*ordering(order))
         return df.withColumns({new: F.lead(c).over(w) for c, new in columns.items()})
-    sliced = add_slices(df, keys, order[0], hot)
+    sliced = add_slices(df, keys, order, hot)
     edges = slice_edges(sliced, keys, order, list(columns)).select(*keys, SLICE, "_following")
     w = Window.partitionBy(*keys, SLICE).orderBy(*ordering(order))
     local = sliced.withColumns({new: F.lead(c).over(w) for c, new in columns.items()})
     local = local.withColumn("_end", F.lead(F.lit(1)).over(w).isNull())
-    joined = null_safe_join(local, F.broadcast(edges), (*keys, SLICE), "left")
+    joined = null_safe_join(local, hot.share(edges), (*keys, SLICE), "left")
     return joined.withColumns(
         {
             new: F.when(F.col("_end"), F.col(f"_following.{c}")).otherwise(F.col(new))
@@ -206,15 +205,15 @@ def renumber(
     policy: SkewPolicy | None = DEFAULT_POLICY,
 ) -> DataFrame:
     """Continuous ordinal 1..n in the group."""
-    hot = find_hot_groups(df, keys, order[0], policy)
+    hot = find_hot_groups(df, keys, policy)
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*ordering(order))
         return df.withColumn(into, F.row_number().over(w).cast("long"))
-    sliced = add_slices(df, keys, order[0], hot)
+    sliced = add_slices(df, keys, order, hot)
     edges = slice_edges(sliced, keys, order, []).select(*keys, SLICE, "_rows_before")
     w = Window.partitionBy(*keys, SLICE).orderBy(*ordering(order))
     local = sliced.withColumn(into, F.row_number().over(w).cast("long"))
-    joined = null_safe_join(local, F.broadcast(edges), (*keys, SLICE), "left")
+    joined = null_safe_join(local, hot.share(edges), (*keys, SLICE), "left")
     return joined.withColumn(
         into, F.col(into) + F.coalesce(F.col("_rows_before"), F.lit(0))
     ).drop(SLICE, "_rows_before")

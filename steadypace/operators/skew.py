@@ -2,13 +2,14 @@
 
 A window function sends a whole group to one task. Groups here are (trip, operator) pairs or work
 pieces: normally a few hundred rows, but a dummy or missing id can collect a large share of the log.
-Such groups are found by an exact count and cut along time into slices of about the same number of
-rows; windows then run per (group, slice), and what they miss at a cut is filled in from one summary
-row per slice.
-
-Three sizes are bounded by construction, which is why they may be collected or broadcast: hot groups
-<= rows / max_group_rows; time cells <= 32 * rows / max_group_rows + 2 per hot group; and slices, of
-which there is one summary row each, <= cells.
+Such groups are found by an exact count and their rows are range partitioned by group and full window
+order, so that slices have about the same number of rows whatever their times are: missing times, a
+wrong date or a tie of many rows at one instant make no large slice. Only rows equal in the whole window
+order stay together. Windows then run per (group, slice), and what they miss at a cut is filled in from
+one summary row per slice.
+
+Two sizes are bounded by construction: hot groups <= rows / max_group_rows, and slices <= 4 * rows /
+max_group_rows + 1. Both are broadcast only while they are small.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from steadypace.functions.scalars import micros
 from steadypace.session import materialise
 
 SLICE = "_slice"
@@ -44,13 +44,20 @@ class SkewPolicy:
 DEFAULT_POLICY = SkewPolicy()
 
 
+EDGE_ROWS = 100_000  # summary rows of slices that may be sent to every executor
+
+
 @dataclass(frozen=True)
 class HotGroups:
-    """``groups``: keys with the origin and width of their time cells; ``cells``: the slice of each
-    cell that has rows."""
+    """``groups``: the keys of hot groups, ``count`` of them; ``slices``: the parts their rows make."""
 
     groups: DataFrame
-    cells: DataFrame
+    count: int
+    slices: int
+
+    def share(self, edges: DataFrame) -> DataFrame:
+        """Broadcast hint for summary rows, one per slice and group in it, while they are few."""
+        return F.broadcast(edges) if self.slices + self.count <= EDGE_ROWS else edges
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -85,51 +92,29 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-def _large_groups(df: DataFrame, keys: Sequence[str], ts: str, policy: SkewPolicy) -> list[Row]:
-    """At most rows / max_group_rows groups, with their count and time range."""
-    at = micros(F.col(ts))
-    sized = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
-    )
+def _large_groups(df: DataFrame, keys: Sequence[str], policy: SkewPolicy) -> list[Row]:
+    """At most rows / max_group_rows groups with their count."""
+    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return sized.where(F.col("_n") > policy.max_group_rows).collect()
 
 
 def find_hot_groups(
-    df: DataFrame, keys: Sequence[str], ts: str, policy: SkewPolicy | None
+    df: DataFrame, keys: Sequence[str], policy: SkewPolicy | None
 ) -> HotGroups | None:
-    """Groups above the row limit and how to slice them, or None if there are none."""
+    """Groups above the row limit and how many slices they take, or None if there are none."""
     if policy is None or plan_bytes(df) <= policy.small_input_bytes:
         return None
     plain = [k for k in keys if k not in DERIVED]
-    if plain != list(keys) and not _large_groups(df, plain, ts, policy):
+    if plain != list(keys) and not _large_groups(df, plain, policy):
         return None
-    rows = _large_groups(df, keys, ts, policy)
+    rows = _large_groups(df, keys, policy)
     if not rows:
         return None
-    hot = []
-    for row in rows:
-        cells = -(-32 * row["_n"] // policy.max_group_rows)
-        low, high = row["_lo"] or 0, row["_hi"] or 0
-        hot.append((*(row[k] for k in keys), low, (high - low) // cells + 1))
-    schema = T.StructType(
-        [T.StructField(k, df.schema[k].dataType) for k in keys]
-        + [T.StructField("_lo", T.LongType()), T.StructField("_width", T.LongType())]
-    )
-    groups = df.sparkSession.createDataFrame(hot, schema)
-    # Rows are not spread evenly over time, so neighbouring cells are joined up to a quarter of the
-    # limit. Windows over cells see a bounded number of them.
-    inside = null_safe_join(df.select(*keys, ts), F.broadcast(groups), keys)
-    counts = inside.groupBy(*keys, _cell(ts).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
+    groups = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in rows], schema)
+    # A quarter of the limit, since range partitions are cut by a sample and vary in size.
     target = max(policy.max_group_rows // 4, 1)
-    number = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target) + 1
-    return HotGroups(groups, materialise(counts.select(*keys, "_cell", number.alias(SLICE))))
-
-
-def _cell(ts: str) -> Column:
-    """Time cell of a row of a hot group; missing times come last."""
-    cell = F.floor((micros(F.col(ts)) - F.col("_lo")) / F.col("_width"))
-    return F.coalesce(cell.cast("long"), F.lit(2**62).cast("long"))
+    return HotGroups(groups, len(rows), -(-sum(r["_n"] for r in rows) // target))
 
 
 def null_safe_join(
@@ -144,14 +129,19 @@ def null_safe_join(
     return joined.drop(*(f"_r_{k}" for k in keys))
 
 
-def add_slices(df: DataFrame, keys: Sequence[str], ts: str, hot: HotGroups) -> DataFrame:
-    """Slice number per row: 0 in ordinary groups, 1.. along time in hot ones."""
-    marked = null_safe_join(df, F.broadcast(hot.groups), keys, "left")
-    marked = marked.withColumn("_cell", F.when(F.col("_width").isNotNull(), _cell(ts)))
-    placed = null_safe_join(marked, F.broadcast(hot.cells), (*keys, "_cell"), "left")
-    return placed.withColumn(SLICE, F.coalesce(SLICE, F.lit(0).cast("long"))).drop(
-        "_lo", "_width", "_cell"
+def add_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotGroups) -> DataFrame:
+    """Slice number per row: 0 in ordinary groups, 1.. along ``order`` in hot ones.
+
+    Rows of hot groups are kept on reliable storage with their slice, since a range sort run again may
+    cut elsewhere.
+    """
+    groups = broadcast_if_small(hot.groups)
+    rest = null_safe_join(df, groups, keys, "left_anti").withColumn(SLICE, F.lit(0).cast("long"))
+    placed = null_safe_join(df, groups, keys, "left_semi").repartitionByRange(
+        hot.slices, *ordering(keys), *ordering(order)
     )
+    number = F.spark_partition_id().cast("long") + 1
+    return rest.unionByName(materialise(placed.withColumn(SLICE, number)))
 
 
 def ordering(columns: Sequence[str]) -> list[Column]:

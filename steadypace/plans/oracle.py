@@ -537,12 +537,11 @@ ORACLE = {
               AND treatment_period = 'Post-text'""",
     ),
     "weekly_counts": _with(
-        ("panel", "days"),
+        ("hits", "days"),
         """SELECT CAST(floor((dayofyear(moment) - 1) / 7) + 1 AS BIGINT) AS week,
                   count(*) AS interventions, CAST(max(CAST(moment AS DATE)) AS VARCHAR) AS date,
                   kind AS intervention_type
-           FROM (SELECT DISTINCT message_ts AS moment, 'Live Texts' AS kind FROM panel
-                 WHERE message_ts IS NOT NULL
+           FROM (SELECT DISTINCT event_ts AS moment, 'Live Texts' AS kind FROM hits
                  UNION ALL SELECT date AS moment, 'Discipline' AS kind FROM days WHERE discipline)
            GROUP BY week, kind""",
     ),
@@ -591,6 +590,18 @@ ORACLE = {
                    CAST(post AS BIGINT) AS position
             FROM text_pooled_cells WHERE outcome = 'adherence_secs'""",
     ),
+    "text_main_bars_rate": _with(
+        "text_pooled_cells",
+        f"""SELECT CASE WHEN post THEN 'Post-text' ELSE 'Pre-text' END AS period,
+                   {_near("a", "value")},
+                   substr(CAST(a * 100 AS VARCHAR), 1, 5) || '%' AS label,
+                   CAST(post AS BIGINT) AS position
+            FROM text_pooled_cells WHERE outcome = 'early'
+            UNION ALL
+            SELECT 'change', round_even((e.a - o.a) * 100, 0) + 0.0, '', 2
+            FROM text_pooled_cells e, text_pooled_cells o
+            WHERE e.outcome = 'early' AND o.outcome = 'early' AND NOT e.post AND o.post""",
+    ),
     "piece_traces": _with(
         "panel",
         _select(
@@ -672,6 +683,10 @@ ORACLE = {
         _select("operator_id", *[_txt(f"d{i}", f"discipline_date_{i}") for i in range(1, 5)])
         + " FROM wide",
     ),
+    "nth_dates_long": _with(
+        "nth",
+        _select("operator_id", _txt("incident_date", "incident_date"), _int("n", "n")) + " FROM nth",
+    ),
     "discipline_totals": _with("wide", "SELECT operator_id, total_disciplines FROM wide"),
     "operators_per_total": _with(
         "wide", "SELECT total_disciplines, count(*) AS value FROM wide GROUP BY ALL"

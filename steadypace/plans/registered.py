@@ -39,6 +39,7 @@ from steadypace.operators.daily import (
     build_discipline_panel,
     daily_rates,
     dates_wide,
+    nth_event,
     discipline_days,
     entity_totals,
 )
@@ -333,7 +334,7 @@ def post_event_all(spark, folder):
 
 @query
 def weekly_counts(spark, folder):
-    both = stack([weekly_texts(_panel(spark, folder)[0]), weekly_disciplines(_days(spark, folder))])
+    both = stack([weekly_texts(_panel(spark, folder)[1]), weekly_disciplines(_days(spark, folder))])
     return both.select(whole("week"), "interventions", text("date"), "intervention_type")
 
 
@@ -372,6 +373,16 @@ def text_main_bars(spark, folder):
     return bars.select("period", near("value"), "label", whole("position"))
 
 
+@query
+def text_main_bars_rate(spark, folder):
+    pooled = pooled_effects(_panel(spark, folder)[0], ["early"])
+    bars = main_bars(pooled, as_rate=True)
+    change = headline_change(pooled, True).select(
+        F.lit("change").alias("period"), F.col("change").alias("value"),
+        F.lit("").alias("label"), F.lit(2).alias("position"))
+    return bars.unionByName(change).select("period", near("value"), "label", whole("position"))
+
+
 @query
 def piece_traces(spark, folder):
     trace = piece_trace(_panel(spark, folder)[0])
@@ -469,6 +480,13 @@ def nth_dates_wide(spark, folder):
     return wide.select("operator_id", *[text(f"discipline_date_{i}") for i in range(1, 5)])
 
 
+@query
+def nth_dates_long(spark, folder):
+    """Every date of an operator, however many there are."""
+    dates = nth_event(_days(spark, folder), "operator_id", "incident_date")
+    return dates.select("operator_id", text("incident_date"), whole("n"))
+
+
 @query
 def discipline_totals(spark, folder):
     return entity_totals(_days(spark, folder), "operator_id", "discipline", "total_disciplines")

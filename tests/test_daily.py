@@ -94,6 +94,8 @@ def test_numbering_skips_missing_dates(spark):
     df = spark.createDataFrame([("a", day(2)), ("a", None), ("a", day(1)), ("a", day(1))],
                                "e string, d date")
     assert rows(nth_event(df, "e", "d"), "n", "d") == [(1, day(1)), (2, day(2))]
+    six = frame(spark, [("a", day(i)) for i in range(6)], "e string, d date")
+    assert [n for n, _ in rows(nth_event(six, "e", "d"), "n", "d")] == [1, 2, 3, 4, 5, 6]
 
 
 def test_incident_join_is_exact_date(spark):

@@ -138,11 +138,17 @@ def test_weeks(spark):
     ).select(F.col("d").cast("date").alias("d"))
     assert rows(weekly_counts(dates, "d", "k"), "week", "interventions") == [(1, 2), (2, 1), (53, 1)]
     assert weekly_counts(dates, "d", "k", by_year=True).count() == 4
-    panel, _ = build_text_panel(log(spark), events(spark, [3, 9]), EASY)
-    found = weekly_texts(panel)
+    _, hits = build_text_panel(log(spark), events(spark, [3, 9]), EASY)
+    found = weekly_texts(hits)
     assert rows(found, "week", "interventions", "intervention_type") == [(2, 2, "Live Texts")]
 
 
+def test_two_messages_at_one_stop_are_both_counted(spark):
+    _, hits = build_text_panel(log(spark), events(spark, [3, 3.1]), EASY)
+    assert hits.count() == 2
+    assert rows(weekly_texts(hits), "interventions") == [(2,)]
+
+
 def test_summary_and_sizes(spark):
     texts = events(spark, [3, 9, 90])
     panel, hits = build_text_panel(log(spark), texts, EASY)

@@ -12,6 +12,7 @@ from steadypace.operators.cohort import (
     with_session_stats,
 )
 from steadypace.operators.sessions import (
+    ORDER,
     PIECE,
     distinct_rows,
     duplicate_rows,
@@ -79,18 +80,41 @@ def noisy_log(spark, seed=3, n=400):
     return stops(spark, log)
 
 
-def test_hot_groups_are_found_and_sized(spark):
-    log = noisy_log(spark)
-    hot = find_hot_groups(log, ["trip_id", "operator_id"], "departure_ts", ALWAYS)
+# Departure times that equal cuts of the time axis would not spread: a wrong date, half of them missing,
+# a tie of many rows.
+TIMES = {
+    "even": "departure_ts",
+    "old": "CASE WHEN stop_id = 'h7' THEN timestamp_ntz'1900-01-01' ELSE departure_ts END",
+    "missing": "CASE WHEN crc32(stop_id) % 2 = 1 THEN departure_ts END",
+    "tie": "CASE WHEN crc32(stop_id) % 10 < 3 THEN timestamp_ntz'2024-01-09' ELSE departure_ts END",
+}
+
+
+def timed_log(spark, times, seed=3):
+    log = noisy_log(spark, seed)
+    return log.withColumn("departure_ts", F.expr(TIMES[times]).cast(log.schema["departure_ts"].dataType))
+
+
+@pytest.mark.parametrize("times", TIMES)
+def test_hot_groups_are_found_and_sized(spark, times):
+    log = timed_log(spark, times)
+    hot = find_hot_groups(log, ["trip_id", "operator_id"], ALWAYS)
     assert [(r["trip_id"], r["operator_id"]) for r in hot.groups.collect()] == [(None, "O")]
-    sliced = add_slices(log, ["trip_id", "operator_id"], "departure_ts", hot)
+    sliced = add_slices(log, ["trip_id", "operator_id"], ORDER, hot)
     sizes = dict(rows(sliced.groupBy("_slice").count()))
     assert sizes.pop(0) == 30  # ordinary groups stay whole
-    assert sum(sizes.values()) == 400 and sorted(sizes)[0] == 1 and max(sizes.values()) <= 20
-    assert find_hot_groups(log, ["trip_id"], "departure_ts", SkewPolicy()) is None
+    assert sum(sizes.values()) == 400 and max(sizes.values()) <= ALWAYS.max_group_rows
+    assert find_hot_groups(log, ["trip_id"], SkewPolicy()) is None
     assert is_small(log)
 
 
+@pytest.mark.parametrize("times", ["old", "missing", "tie"])
+def test_slicing_changes_nothing_whatever_the_times(spark, times):
+    log = timed_log(spark, times)
+    columns = ["stop_id", "stop_sequence", "piece_start_ts"]
+    assert rows(sessionize(log, policy=None), *columns) == rows(sessionize(log, policy=ALWAYS), *columns)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_slicing_a_hot_group_changes_nothing(spark, seed):
     log = noisy_log(spark, seed)
