@@ -121,7 +121,7 @@ def batch_words(column: pa.Array, word_bytes: np.ndarray, fold: bool = True, pre
     return Words(lower_ascii(data) if fold else data, offsets, word_bytes, prefix)
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 8 * BLOCK) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, size: int = 2 * BLOCK) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about ``size`` bytes of text each, one row at least."""
     _, offsets = text_buffers(batch.column(column))
     lo = 0

@@ -34,7 +34,7 @@ PIECE = ("doc_id long, start long, length long, ids binary, doc_tokens long, seq
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Letters that lower-casing and normalisation treat alike everywhere, and common punctuation.
 SIMPLE = regex.compile(r"[\x09-\x0d\x20-\x7e¡-įĲ-ňŊ-ž‐-‧€]*")
-GENERATION = 400_000
+GENERATION = 100_000
 
 
 class WordIds(dict):
