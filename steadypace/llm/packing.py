@@ -34,7 +34,7 @@ PIECE = ("doc_id long, start long, length long, ids binary, doc_tokens long, seq
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Letters that lower-casing and normalisation treat alike everywhere, and common punctuation.
 SIMPLE = regex.compile(r"[\x09-\x0d\x20-\x7e¡-įĲ-ňŊ-ž‐-‧€]*")
-GENERATION = 100_000
+GENERATION = 400_000
 
 
 class WordIds(dict):
@@ -60,14 +60,14 @@ class Encoder:
     """Ids of whole texts. Texts of simple characters are split at white space and each word is encoded
     once; every other text goes through the tokenizer as a whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, word_memory: int = GENERATION):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.parts = WordIds(self._part, GENERATION // 4)
-        self.words = WordIds(self._word)
+        self.parts = WordIds(self._part, word_memory // 4)
+        self.words = WordIds(self._word, word_memory)
         # Bytes stand for themselves or, if not printable, for the characters from 256 on, in order.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -87,14 +87,14 @@ class Encoder:
         return np.array(encoded.ids, "<u4").tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, word_memory: int = GENERATION) -> Encoder:
+    """One encoder for each worker process, file and size of its memory."""
+    if (path, word_memory) not in _ENCODERS:
+        _ENCODERS[path, word_memory] = Encoder(path, word_memory)
+    return _ENCODERS[path, word_memory]
 
 
 class Packer:
@@ -163,16 +163,17 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1,
-         finest: int = 16) -> DataFrame:
+         finest: int = 16, word_memory: int = GENERATION) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens (with
     the end id), sequence_id, offset. Every id of a document lies in exactly one piece; a sequence
-    holds at most ``capacity`` ids, gapless from offset 0."""
+    holds at most ``capacity`` ids, gapless from offset 0. ``word_memory`` bounds the words whose ids a
+    worker remembers (twice that, some 200 bytes each); it changes speed, not results."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, word_memory)
         # Sequences are numbered apart in each partition: up to 2**33 in each of 2**30.
         packer = Packer(capacity, finest, TaskContext.get().partitionId() << 33)
         for batch in batches:
