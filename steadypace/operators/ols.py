@@ -145,14 +145,17 @@ def discontinuity_by(
         own = lines.where("identified")
         first = F.min_by(F.struct(*entity, *parts), F.struct(*entity)).alias("_base")
         lines = _with_model(lines, own.groupBy(*by).agg(first) if by else own.agg(first), by)
-        lines = lines.where(
-            ~F.struct(*entity).eqNullSafe(F.struct(*[F.col(f"_base.{k}") for k in entity]))
-        )
+        # The first entity's level is what the others are measured by; its slope keeps a row of its own.
+        base = F.struct(*entity).eqNullSafe(F.struct(*[F.col(f"_base.{k}") for k in entity]))
+        lines = lines.withColumn("_first", base)
+        less = lambda c: F.when(F.col("_first"), F.lit(0.0)).otherwise(F.col(f"_base.{c}"))
         for part in (LEVEL, SLOPE):
             lines = lines.withColumns({
-                f"d_{part}": F.col(f"d_{part}") - F.col(f"_base.d_{part}"),
-                f"v_{part}": F.col(f"v_{part}") + F.col(f"_base.v_{part}"),
+                f"d_{part}": F.col(f"d_{part}") - less(f"d_{part}"),
+                f"v_{part}": F.col(f"v_{part}") + less(f"v_{part}"),
             })
+    else:
+        lines = lines.withColumn("_first", F.lit(False))
     rows = F.array(*[
         F.struct(
             F.lit(part).alias("term"),
@@ -163,8 +166,8 @@ def discontinuity_by(
     ])
     out = lines.select(
         *by, *entity, F.inline(rows), F.col("pre_n").alias("n_pre"),
-        F.col("post_n").alias("n_post"), "identified", "dof",
-    )
+        F.col("post_n").alias("n_post"), "identified", "dof", "_first",
+    ).where(~(F.col("_first") & (F.col("term") == LEVEL))).drop("_first")
     return out.withColumn("t_value", F.col("estimate") / F.nullif("std_error", F.lit(0.0)))
 
 

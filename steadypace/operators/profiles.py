@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from steadypace.functions.scalars import simple_week
 from steadypace.functions.strict import strict_mean
 from steadypace.operators.panel import POST_TEXT, TREATMENT
 from steadypace.operators.sessions import PIECE, first_per_group
 from steadypace.operators.skew import null_safe_join
+from steadypace.session import materialise
 
 MEAN_EARLY, MEDIAN_ADHERENCE = "Mean early", "Median adherence"  # fixed values
 
@@ -38,7 +40,8 @@ def event_profile(
     """Stops, mean early (missing left out) and exact median seconds (missing makes it missing).
 
     Rows are first counted per distinct adherence value, so a group of any size is spread over many
-    tasks and the exact median only handles whole seconds with their frequencies.
+    tasks. Whole seconds are few, and one buffer holds them with their frequencies; fractional seconds
+    may all differ, so their median comes from a range sort of the counted values.
     """
     early = F.col("early").cast("double")
     values = panel.groupBy(*by, "adherence_secs").agg(
@@ -46,13 +49,44 @@ def event_profile(
         F.sum(early).alias("_early"),
         F.count(early).alias("_early_n"),
     )
+    whole = isinstance(panel.schema["adherence_secs"].dataType, T.IntegralType)
+    if not whole:
+        values = materialise(values)
     known = F.sum(F.when(F.col("adherence_secs").isNotNull(), F.col("_n")))
     median = F.percentile(F.col("adherence_secs").cast("double"), F.lit(0.5), F.col("_n"))
-    return values.groupBy(*by).agg(
+    profile = values.groupBy(*by).agg(
         F.sum("_n").alias("stops"),
         (F.sum("_early") / F.nullif(F.sum("_early_n"), F.lit(0))).alias("mean_early"),
-        F.when(known == F.sum("_n"), median).alias("median_adherence"),
+        F.when(known == F.sum("_n"), median if whole else F.lit(1.0)).alias("median_adherence"),
     )
+    if whole:
+        return profile
+    found = null_safe_join(profile, _sorted_median(values, by), by, "left")
+    return found.withColumn("median_adherence", F.col("median_adherence") * F.col("_median")).drop("_median")
+
+
+def _sorted_median(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Exact median per group of counted values (``adherence_secs``, ``_n``) as ``_median``, however many
+    values a group has: they are range partitioned by group and value, and each partition's count of a
+    group (one small row) tells where the ranks in the middle lie."""
+    spread = materialise(
+        values.where(F.col("adherence_secs").isNotNull()).select(*by, "adherence_secs", "_n")
+        .repartitionByRange(*by, "adherence_secs").withColumn("_part", F.spark_partition_id())
+    )
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = spread.groupBy(*by, "_part").agg(F.sum("_n").alias("_own")).select(
+        *by, "_part", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_start"),
+        F.sum("_own").over(group).alias("_total"),
+    )
+    so_far = Window.partitionBy(*by, "_part").orderBy("adherence_secs").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    placed = null_safe_join(spread.withColumn("_upto", F.sum("_n").over(so_far)), parts, (*by, "_part"))
+    end = F.col("_start") + F.col("_upto")
+    at = lambda rank: F.max(F.when((end - F.col("_n") <= rank) & (rank < end), F.col("adherence_secs")))
+    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    return placed.groupBy(*by).agg(((at(low) + at(high)).cast("double") / 2).alias("_median"))
 
 
 def stats_long(profile: DataFrame, columns: Mapping[str, str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from steadypace.operators.daily import POST_DISCIPLINE, build_discipline_panel
 from steadypace.operators.effects import effect_table, rank_effects
 from steadypace.operators.ols import LEVEL, StepModel, discontinuity_by, step_models
 from steadypace.operators.profiles import day_profile
-from steadypace.operators.quality import discipline_summary
+from steadypace.operators.quality import check_relationship, discipline_summary
 from steadypace.sources.tables import (
     data_dictionary,
     save_coefficients,
@@ -71,11 +71,13 @@ def published_discipline_panel(panel: DataFrame, salt: str) -> DataFrame:
 
 
 def save_discipline_study(days: DataFrame, folder: str, salt: str) -> None:
-    """Published tables, dictionary and models from ``read_discipline_daily`` rows."""
+    """Published tables, dictionary and models from ``read_discipline_daily`` rows. Raises
+    ``ContractError`` if an operator has several rows on one day."""
     spark = days.sparkSession
     write_table(published_discipline_panel(build_discipline_panel(days), salt),
                 f"{folder}/discipline_data")
     panel = spark.read.parquet(f"{folder}/discipline_data")
+    check_relationship(panel, panel, ["operator_id_hash", "date"], "one-to-one")
     write_table(discipline_summary(panel, "operator_id_hash"),
                 f"{folder}/discipline_summary_stats")
     write_csv(data_dictionary(panel, "discipline_data", schemas.DISCIPLINE_DATA),

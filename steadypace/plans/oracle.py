@@ -632,6 +632,23 @@ ORACLE = {
         + """ FROM src WHERE operator_id IN (SELECT operator_id FROM extract)
               AND scheduled_date BETWEEN DATE '2024-01-01' AND DATE '2024-05-01'""",
     ),
+    "adherence_extract_range": _with(
+        ("src", "extract"),
+        _select("trip_id", _txt("scheduled_date", "scheduled_date"), "scheduled_time",
+                "vehicle_id", "operator_id", _int("seq_in", "stop_sequence"), "stop_id",
+                "departure_time", _near("adherence_secs", "adherence_secs"), "stop_name",
+                _int("early", "early"), _int("time_point", "time_point"),
+                _us("ts0", "scheduled_us"), _us("ts0", "departure_us"))
+        + """ FROM src WHERE operator_id IN (SELECT operator_id FROM extract)
+              AND scheduled_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
+    ),
+    "profile_of_fractional_seconds": _with(
+        "panel",
+        f"""SELECT relative_stop, treatment_group, count(*) AS stops,
+                   {_near("avg(early)", "mean_early")},
+                   {_near("median(adherence_secs + stop_ordinal / 8.0)", "median_adherence")}
+            FROM panel GROUP BY ALL""",
+    ),
     "text_study_from_source": _with(
         ("s_nexts", "s_hits"),
         f"""SELECT n.trip_id, n.operator_id, epoch_us(n.piece_start_ts) AS piece_start_us,
@@ -750,6 +767,11 @@ ORACLE = {
                     UNION ALL SELECT *, 'slope', d_slope, sqrt(s2 * v_slope) FROM lines, fit)""",
     ),
     "effect_ranking": _with("effects", _effects("effects")),
+    "effect_intervals": _with(
+        "effects",
+        f"""SELECT estimate, low, high, significant, outcome_group, sort_order
+            FROM ({_effects("effects")})""",
+    ),
     "effect_ranking_baseline": _with("effects_base", _effects("effects_base")),
     "entity_by_rank": _with(
         "effects",
@@ -826,3 +848,5 @@ ORACLE = {
            FROM panel GROUP BY ALL""",
     ),
 }
+# The same rows in chart order.
+ORACLE["day_lines"] = ORACLE["discipline_day_profile"]

@@ -27,6 +27,7 @@ from steadypace.operators.attribution import (
     classify_unmatched,
     departure_intervals,
     event_id,
+    last_event_per_day,
     unmatched_events,
 )
 from steadypace.operators.cohort import (
@@ -86,6 +87,8 @@ from steadypace.operators.sessions import (
     sessionize,
 )
 from steadypace.plans import event_views as views
+from steadypace.plans.charts import day_lines as day_lines_frame
+from steadypace.plans.charts import effect_intervals as effect_intervals_frame
 from steadypace.plans.charts import main_bars, piece_trace
 from steadypace.plans.discipline_study import (
     fit_step_models,
@@ -94,6 +97,7 @@ from steadypace.plans.discipline_study import (
     predicted_profile,
 )
 from steadypace.plans.text_study import piece_effects, pooled_effects, run_text_study
+from steadypace.session import materialise
 from steadypace.sources.warehouse import read_adherence, read_discipline_daily, read_messages
 
 SALT = "salt"
@@ -243,9 +247,10 @@ def unmatched_messages(spark, folder):
 
 @query
 def unmatched_reasons(spark, folder):
-    messages, pieces = views.messages(spark, folder), _pieces(spark, folder)
-    per_event = attribute_events(pieces, messages)
-    last = attribute_events(pieces, messages, "last_per_day")
+    messages, pieces = views.messages(spark, folder), materialise(_pieces(spark, folder))
+    per_event = materialise(attribute_events(pieces, messages))
+    # An event's match does not depend on other events, so the last ones keep theirs.
+    last = per_event.join(last_event_per_day(messages).select("event_id"), "event_id", "left_semi")
     found = classify_unmatched(unmatched_events(messages, last), pieces, per_event)
     return found.select("event_id", "reason", whole("duplicate_stop_time"))
 
@@ -320,6 +325,14 @@ def profile_by_relative_stop(spark, folder):
     return profile.select("relative_stop", "treatment_group", "stops", "stat", near("value"))
 
 
+@query
+def profile_of_fractional_seconds(spark, folder):
+    exact = F.col("adherence_secs").cast("double") + F.col("stop_ordinal") / F.lit(8.0)
+    profile = event_profile(_panel(spark, folder)[0].withColumn("adherence_secs", exact))
+    return profile.select("relative_stop", "treatment_group", "stops", near("mean_early"),
+                          near("median_adherence"))
+
+
 @query
 def post_event_first_time_point(spark, folder):
     row = post_event_outcome(_panel(spark, folder)[0], first_only=True)
@@ -413,9 +426,8 @@ def second_precision_join(spark, folder):
     )
 
 
-@query
-def adherence_extract(spark, folder):
-    stops = read_adherence(views.adherence_source(spark, folder), START, "2024-05-01",
+def _adherence(spark, folder, start, end):
+    stops = read_adherence(views.adherence_source(spark, folder), start, end,
                            operators=_extract(spark, folder))
     return stops.select(
         "trip_id", text("scheduled_date"), "scheduled_time", "vehicle_id", "operator_id",
@@ -424,6 +436,17 @@ def adherence_extract(spark, folder):
     )
 
 
+@query
+def adherence_extract(spark, folder):
+    return _adherence(spark, folder, START, "2024-05-01")
+
+
+@query
+def adherence_extract_range(spark, folder):
+    """A range that cuts both ends of the log."""
+    return _adherence(spark, folder, "2024-01-05", "2024-01-20")
+
+
 @query
 def text_study_from_source(spark, folder):
     stops = read_adherence(views.adherence_source(spark, folder), START, "2024-05-01")
@@ -521,6 +544,15 @@ def discipline_day_profile(spark, folder):
                           near("mean_prediction_secs", 3))
 
 
+@query
+def day_lines(spark, folder):
+    panel = _discipline(spark, folder)
+    lines = day_lines_frame(predicted_profile(panel, fit_step_models(panel), span=20))
+    return lines.select(whole("date_relative_1"), "period", "n", near("mean_early"),
+                        near("mean_adherence"), near("mean_prediction"),
+                        near("mean_prediction_secs", 3))
+
+
 @query
 def discipline_day_one(spark, folder):
     panel = _discipline(spark, folder)
@@ -588,6 +620,11 @@ def effect_ranking(spark, folder):
     return _ranked(spark, folder).select(*effect_columns())
 
 
+@query
+def effect_intervals(spark, folder):
+    return effect_intervals_frame(_ranked(spark, folder)).select(*effect_columns()[1:])
+
+
 @query
 def effect_ranking_baseline(spark, folder):
     return _ranked(spark, folder, "baseline").select(*effect_columns())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadypace import schemas
+from steadypace.functions.scalars import mask_id
 from steadypace.operators.attribution import classify_unmatched, event_id, unmatched_events
 from steadypace.operators.cohort import Criteria
 from steadypace.operators.effects import effect_table, rank_effects
@@ -17,11 +18,18 @@ from steadypace.operators.panel import (
     POST_TEXT,
     PUBLISHED,
     TREATMENT,
+    UNKNOWN,
     build_text_panel,
     published_panel,
 )
 from steadypace.operators.profiles import subset, time_points_only
-from steadypace.operators.quality import study_summary
+from steadypace.operators.quality import (
+    check_absent,
+    check_equal_counts,
+    check_relationship,
+    check_unique,
+    study_summary,
+)
 from steadypace.operators.sessions import PIECE, duplicate_rows, sessionize
 from steadypace.operators.skew import DEFAULT_POLICY, SkewPolicy
 from steadypace.session import materialise
@@ -107,12 +115,24 @@ def read_published(spark: SparkSession, folder: str) -> DataFrame:
     return stored.withColumnsRenamed({name: c for c, name in PUBLISHED.items()})
 
 
+def check_stored_panel(panel: DataFrame, hits: DataFrame, salt: str) -> None:
+    """Raise ``ContractError`` unless every piece id belongs to one trip and operator, every row has a
+    group, and the panel shows a message for as many operators as were matched."""
+    check_unique(panel, "work_piece_id", ("trip_id", "operator_id_hash"))
+    check_absent(panel, "treatment_group", UNKNOWN)
+    check_equal_counts(panel.where(F.col("message_id").isNotNull()),
+                       mask_id(hits, "operator_id", salt), "operator_id_hash")
+
+
 def save_text_study(study: TextStudy, folder: str, salt: str) -> None:
-    """Published tables, dictionaries and coefficients under one folder."""
+    """Published tables, dictionaries and coefficients under one folder. Raises ``ContractError``
+    where messages, matched stops and the panel do not fit together."""
     spark = study.panel.sparkSession
+    check_relationship(study.messages, study.hits, ["event_id"], "one-to-many")
     write_table(published_panel(study.panel, salt), f"{folder}/text_data", ["ScheduledDate"])
     # Everything below reads the stored panel.
     panel = read_published(spark, folder)
+    check_stored_panel(panel, study.hits, salt)
     write_table(study.hits, f"{folder}/message_stops")
     write_table(study.messages, f"{folder}/messages")
     write_table(study.duplicates, f"{folder}/dup_messages")

@@ -82,6 +82,11 @@ def test_baseline_contrast(spark, data):
         k = 4 * i + 2
         assert found[e]["estimate"] == pytest.approx(beta[k] - beta[2])
         assert found[e]["std_error"] == pytest.approx((covariance[k, k] + covariance[2, 2]) ** 0.5)
+    slopes = {r["entity"]: r for r in fitted.where("term = 'slope' AND identified").collect()}
+    assert sorted(slopes) == ["a", "b", "c", "d"]
+    assert slopes["a"]["estimate"] == pytest.approx(beta[3])
+    assert slopes["a"]["std_error"] == pytest.approx(covariance[3, 3] ** 0.5)
+    assert slopes["c"]["estimate"] == pytest.approx(beta[11] - beta[3])
 
 
 def test_effect_table_and_ranking(spark, data):

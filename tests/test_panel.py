@@ -195,3 +195,25 @@ def test_effects_on_the_panel(spark):
     assert alone["estimate"] == effects["adherence_secs"]["estimate"]
     assert alone["std_error"] == effects["adherence_secs"]["std_error"]
     assert stack([panel, panel]).count() == 24
+
+
+def test_median_of_fractional_seconds(spark):
+    """Both ways give the median, also with ties, missing values and null keys."""
+    import random
+    from statistics import median
+
+    random.seed(5)
+    log = [(random.choice([None, 0, 1, 2]), random.choice("ab"), random.choice([0, 0, 1, None]),
+            random.choice([-3.0, 4.0, 4.0, float(i)])) for i in range(400)]
+    log += [(9, "a", 1, None), (9, "a", 1, 2.0), (8, "b", 0, None), (7, "b", 0, 1.0)]
+    frame = spark.createDataFrame(
+        log, "relative_stop long, treatment_group string, early int, adherence_secs double")
+    whole = frame.withColumn("adherence_secs", frame.adherence_secs.cast("long"))
+    order = ["relative_stop", "treatment_group"]
+    found = rows(event_profile(frame), order=order)
+    assert found == rows(event_profile(whole), order=order)
+    halves = rows(event_profile(frame.withColumn("adherence_secs", frame.adherence_secs / 8)), order=order)
+    for stop, group, n, _, middle in halves:
+        own = [r[3] for r in log if r[0] == stop and r[1] == group]
+        assert n == len(own)
+        assert middle == (None if None in own else median(own) / 8)

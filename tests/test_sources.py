@@ -245,3 +245,25 @@ def test_percent_label_of_small_rates(spark):
 
     frame = spark.createDataFrame([(0.0000012,), (0.4123,), (0.0,), (None,)], "r double")
     assert [r[0] for r in frame.select(percent_label(F.col("r"))).collect()] == ["0.000%", "41.23%", "0.0%", None]
+
+
+def test_studies_refuse_broken_inputs(spark, folder, tmp_path):
+    from dataclasses import replace
+
+    from steadypace.operators.daily import discipline_days
+    from steadypace.operators.quality import ContractError
+
+    extract = read_messages(
+        views.comm_history(spark, folder), views.vehicle_snapshot(spark, folder),
+        views.operators(spark, folder), "2024-01-01", "2024-04-30",
+    )
+    stops = read_adherence(views.adherence_source(spark, folder), "2024-01-01", "2024-05-01")
+    study = run_text_study(extract, stops, Criteria(0.4, 4, -10))
+    twice = replace(study, messages=study.messages.unionByName(study.messages))
+    with pytest.raises(ContractError, match="event_id"):
+        save_text_study(twice, f"{tmp_path}/a", "salt")
+    with pytest.raises(ContractError, match="operator_id_hash"):
+        save_text_study(replace(study, hits=study.hits.where("false")), f"{tmp_path}/b", "salt")
+    days = discipline_days(views.daily_stops(spark, folder), views.incidents(spark, folder))
+    with pytest.raises(ContractError, match="date"):
+        save_discipline_study(days.unionByName(days), f"{tmp_path}/c", "salt")
