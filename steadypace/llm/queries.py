@@ -83,4 +83,17 @@ QUERIES = {f.__name__: f for f in (
     op1_quality, op2_near_dedup, op3_packing, op4_decontamination, op5_main_text,
     op6_fingerprints, op7_sharding, op8_licenses, op9_toxicity, op10_urls,
 )}
-ORACLE: dict[str, str] = {}
+# Only the URL rules have a plain SQL form.
+ORACLE: dict[str, str] = {"op10_urls": """
+    WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                                   ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0
+                             THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (SELECT page_id,
+                     translate(regexp_extract(rest, '^([^/?#]*)', 1),
+                               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    judged AS (SELECT *, (SELECT arg_max({'rule': h || p, 'verdict': v}, length(h || p)) FROM rules
+                          WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best
+               FROM parts)
+    SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged"""}

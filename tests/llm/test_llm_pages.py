@@ -6,7 +6,7 @@ import re
 from steadypace.llm.pages import host_wrappers, main_text
 from steadypace.llm.urls import judge_urls
 from steadypace.llm.wrappers import align, parse, region, wrapper_of
-from steadypace.llm.queries import URL_RULES
+from steadypace.llm.queries import ORACLE, URL_RULES, op10_urls
 from pyspark.sql import functions as F
 
 PAGE = ('<html><head><title>t</title><script>if (a<b) "</p>"</script></head><body><header>Site</header><nav><ul><li>'
@@ -70,3 +70,18 @@ def test_generated_pages(spark, folder):
         body = re.sub(r"<br>|</?p>|</?h1>", " ", body).replace("<b>", "").replace("</b>", "")
         expected[r["page_id"]] = " ".join(html.unescape(body).split())
     assert {r["page_id"]: r["text"] for r in main_text(pages).collect()} == expected
+
+
+def test_urls_equal_sql(spark, folder, tmp_path):
+    import duckdb
+
+    odd = ["http://A.net/x", "https://b.example.net/en/1?q", "ftp://EXAMPLE.com/de/", "http://xexample.com/de/",
+           "http://x.org/fr/#a", "http://x.org/fr", None, "nothing", "http://", "http://net?x://y/", "http://.net/",
+           "http://a.example.net/en/\n/é"]
+    spark.createDataFrame(list(enumerate(odd)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    for place, files in ((folder, "pages.parquet"), (str(tmp_path), "pages.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{place}/{files}'")
+        expected = con.execute(ORACLE["op10_urls"]).fetchall()
+        found = op10_urls(spark, place).select("page_id", "host", "path", "rule", "verdict").collect()
+        assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
