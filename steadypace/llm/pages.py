@@ -97,7 +97,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if region not in places:
                     if len(places) > 10_000:
                         places.clear()
-                    places[region] = tuple(json.loads(region)) if region else ([], [])
+                    places[region] = tuple(json.loads(region)) if region else ([],)
                 text = w.extract(tree, *places[region])
                 if text is None:  # unlike the host's other pages
                     text = w.extract(tree, *w.region([1, w.wrapper_of(tree)])) or ""

@@ -210,9 +210,9 @@ def combine(a: list, b: list) -> list:
     return [a[0] + b[0], _merge(a[1], b[1])]
 
 
-def region(wrapper: list) -> tuple[list[str], list[int]]:
-    """Where the article is: the labels from the root down, and hashes of template texts in it that enough
-    pages share. An article or main element with most of the text wins; else the walk goes down while
+def region(wrapper: list) -> tuple[list[str]]:
+    """Where the article is: the labels from the root down. Template texts in it, as copies of one page and
+    headings that a host repeats, are text like any other. An article or main element with most of the text wins; else the walk goes down while
     one child that is no aside holds most of the text."""
     root = wrapper[1]
 
@@ -249,24 +249,10 @@ def region(wrapper: list) -> tuple[list[str], list[int]]:
             if best[1] in "+*" or 10 * body(best) < 6 * body(node) or not any(c[0] != "#" for c in best[2]):
                 break
             node, path = best, [*path, best[0]]
-    fixed: list[int] = []
-    _fixed(node, fixed)
-    return path, fixed
+    return (path,)
 
 
-TEMPLATE_PAGES = 20
-
-
-def _fixed(node: list, out: list[int]) -> None:
-    for child in node[2]:
-        if child[0] == "#":
-            if child[1] == "1" and child[2] is not None and child[4] >= TEMPLATE_PAGES:
-                out.append(child[2])
-        elif child[1] == "1":
-            _fixed(child, out)
-
-
-def extract(page: list, path: list[str], fixed: list[int]) -> str | None:
+def extract(page: list, path: list[str]) -> str | None:
     """Text blocks of the region in page order; None if the page has no such region."""
     nodes = [page]
     for label in path:
@@ -275,17 +261,17 @@ def extract(page: list, path: list[str], fixed: list[int]) -> str | None:
         return None
     blocks: list[str] = []
     for node in nodes:
-        _blocks(node, blocks, frozenset(fixed), not path)
+        _blocks(node, blocks, not path)
     return " ".join(blocks)
 
 
-def _blocks(node: list, out: list[str], fixed: frozenset, outside: bool) -> None:
+def _blocks(node: list, out: list[str], outside: bool) -> None:
     for child in node[1]:
         if child is None:
             continue
         if isinstance(child, str):
             text = clean(child)
-            if text and not (fixed and zlib.crc32(text.encode()) in fixed):
+            if text:
                 out.append(text)
         elif not is_aside(child[0]) and not (outside and child[0].split(" ")[0] == "header"):
-            _blocks(child, out, fixed, outside and child[0].split(" ")[0] in ("html", "body"))
+            _blocks(child, out, outside and child[0].split(" ")[0] in ("html", "body"))

@@ -85,3 +85,18 @@ def test_urls_equal_sql(spark, folder, tmp_path):
         expected = con.execute(ORACLE["op10_urls"]).fetchall()
         found = op10_urls(spark, place).select("page_id", "host", "path", "rule", "verdict").collect()
         assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+
+
+def texts_of(spark, pages):
+    """Main texts of pages of one host, in their order."""
+    rows = [(i, f"http://h.org/{i}", page) for i, page in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return [r["text"] for r in sorted(main_text(frame).collect(), key=lambda r: r["page_id"])]
+
+
+def test_template_text_of_articles_stays(spark):
+    copy = "<body><nav><a>m</a></nav><article><h1>T</h1><p>body</p></article></body>"
+    assert texts_of(spark, [copy] * 100) == ["T body"] * 100
+    shared = "<body><article><h1>Series</h1><h2>Summary</h2><p>body {}</p></article></body>"
+    for n in (19, 20, 60):
+        assert texts_of(spark, [shared.format(i) for i in range(n)]) == [f"Series Summary body {i}" for i in range(n)]
