@@ -25,6 +25,7 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 "
                    "h4 h5 h6 header hr main nav ol p pre section table ul".split())
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 ASIDE_TAGS = frozenset("nav footer aside form button dialog menu head".split()) | RAW
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners promo promos promotion sponsor "
@@ -211,47 +212,59 @@ def combine(a: list, b: list) -> list:
 
 
 def region(wrapper: list) -> tuple[list[str]]:
-    """Where the article is: the labels from the root down. Template texts in it, as copies of one page and
-    headings that a host repeats, are text like any other. An article or main element with most of the text wins; else the walk goes down while
-    one child that is no aside holds most of the text."""
-    root = wrapper[1]
-
-    def marked(node: list, path: list[str]) -> list[tuple[int, list[str], list]]:
-        found = []
-        for child in node[2]:
-            if child[0] == "#" or is_aside(child[0]):
-                continue
-            tag, *names = child[0].split(" ")
-            here = [*path, child[0]]
-            if tag in ("article", "main") or "@main" in names or "@articlebody" in names:
-                inner = marked(child, here)
-                found.extend(inner or [(child[3], here, child)])
-            else:
-                found.extend(marked(child, here))
-        return found
-
-    def body(node: list) -> int:
-        if node[0] == "#":
-            return node[3]
-        return 0 if is_aside(node[0]) else sum(map(body, node[2]))
-
-    choices = marked(root, [])
-    if choices and 2 * max(choices, key=lambda c: c[0])[0] >= body(root):
-        _, path, node = max(choices, key=lambda c: c[0])
-    else:
-        node, path = root, []
-        while True:
-            inner = [c for c in node[2] if c[0] != "#" and not is_aside(c[0]) and c[2]
-                     and c[0].split(" ")[0] != "header"]
-            if not inner:
-                break
-            best = max(inner, key=body)
-            if best[1] in "+*" or 10 * body(best) < 6 * body(node) or not any(c[0] != "#" for c in best[2]):
-                break
-            node, path = best, [*path, best[0]]
+    """Where the article is: the labels from the root down to the smallest element that holds all of it.
+    Template texts in it, as copies of one page and headings that a host repeats, are text like any other.
+
+    The article is every article and main element, and outside them every heading and paragraph that is in
+    no aside. A text outside both, as the site's name in a plain element, is the frame's if it is the same on
+    all pages while the other texts differ; else it counts for the article too. A header of the whole page
+    is frame."""
+    sure: list[list[str]] = []
+    plain: list[tuple[list[str], bool]] = []
+    varied = _places(wrapper[1], [], False, sure, plain)
+    places = sure + [path for path, differs in plain if differs or not varied]
+    path = list(places[0]) if places else []
+    for other in places[1:]:
+        same = 0
+        while same < min(len(path), len(other)) and path[same] == other[same]:
+            same += 1
+        del path[same:]
     return (path,)
 
 
+def _places(node: list, path: list[str], inside: bool, sure: list, plain: list) -> bool:
+    """Collect the paths of the article's elements and of plain texts outside them; returns whether a text of
+    the article differs between pages."""
+    varied = False
+    for child in node[2]:
+        if child[0] == "#":
+            if not inside:
+                plain.append((path, child[2] is None))
+            varied |= inside and child[2] is None
+        elif not is_aside(child[0]) and not (_in_frame(path) and _tag(child[0]) == "header"):
+            here = [*path, child[0]]
+            marked = _marked(child[0])
+            starts = not inside and (marked or _tag(child[0]) in FLOW)
+            if starts and child[3]:
+                sure.append(here if marked else path)
+            varied |= _places(child, here, inside or starts, sure, plain)
+    return varied
+
+
+def _tag(label: str) -> str:
+    return label.split(" ")[0]
+
+
+def _marked(label: str) -> bool:
+    tag, *names = label.split(" ")
+    return tag in ("article", "main") or "@main" in names or "@articlebody" in names
+
+
+def _in_frame(path: list[str]) -> bool:
+    """Whether the path has not left the whole page."""
+    return all(_tag(label) in ("html", "body") for label in path)
+
+
 def extract(page: list, path: list[str]) -> str | None:
     """Text blocks of the region in page order; None if the page has no such region."""
     nodes = [page]
@@ -261,7 +274,7 @@ def extract(page: list, path: list[str]) -> str | None:
         return None
     blocks: list[str] = []
     for node in nodes:
-        _blocks(node, blocks, not path)
+        _blocks(node, blocks, _in_frame(path))
     return " ".join(blocks)
 
 

@@ -5,7 +5,7 @@ import re
 
 from steadypace.llm.pages import host_wrappers, main_text
 from steadypace.llm.urls import judge_urls
-from steadypace.llm.wrappers import align, parse, region, wrapper_of
+from steadypace.llm.wrappers import align, combine, extract, parse, region, wrapper_of
 from steadypace.llm.queries import ORACLE, URL_RULES, op10_urls
 from pyspark.sql import functions as F
 
@@ -100,3 +100,31 @@ def test_template_text_of_articles_stays(spark):
     shared = "<body><article><h1>Series</h1><h2>Summary</h2><p>body {}</p></article></body>"
     for n in (19, 20, 60):
         assert texts_of(spark, [shared.format(i) for i in range(n)]) == [f"Series Summary body {i}" for i in range(n)]
+
+
+def texts_by_wrapper(pages):
+    """Texts by the region of the pages' wrapper, without Spark."""
+    trees = [parse(page) for page in pages]
+    total = None
+    for tree in trees:
+        new = [1, wrapper_of(tree)]
+        total = new if total is None else combine(total, new)
+    place = region(total)
+    return [extract(tree, *place) for tree in trees]
+
+
+def test_the_region_holds_all_of_the_article():
+    frame = "<html><body><header>Site</header><nav>m</nav><div class=brand>Name</div>{}<footer>f</footer></body></html>"
+    two = ("<main><h1>Title {i}</h1><p>lead {i}</p><article class=a><p>" + "long {i} " * 9 + "</p></article>"
+           "<article class=b><p>rest {i}</p></article></main>")
+    lead = ("<h1>Title {i}</h1><div class=lead>lead {i}</div><div class=content><p>one {i}</p><aside>no</aside>"
+            "<p>two {i}</p></div>")
+    for n in (1, 3, 30):
+        pages = [frame.format(two.format(i=i)) for i in range(n)]
+        expected = [f"Title {i} lead {i} " + f"long {i} " * 9 + f"rest {i}" for i in range(n)]
+        assert [t.removeprefix("Name ") for t in texts_by_wrapper(pages)] == expected
+        assert texts_by_wrapper(["<body>" + lead.format(i=i) + "</body>" for i in range(n)]) == [
+            f"Title {i} lead {i} one {i} two {i}" for i in range(n)]
+    assert not any(t.startswith("Name") for t in texts_by_wrapper([frame.format(two.format(i=i)) for i in range(3)]))
+    beside = "<body><article><p>a {i}</p></article><section><h2>b {i}</h2><div>c {i}</div></section></body>"
+    assert texts_by_wrapper([beside.format(i=i) for i in range(3)]) == [f"a {i} b {i} c {i}" for i in range(3)]
