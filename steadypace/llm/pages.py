@@ -99,9 +99,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                         places.clear()
                     places[region] = tuple(json.loads(region)) if region else ([],)
                 text = w.extract(tree, *places[region])
-                if text is None:  # unlike the host's other pages
-                    text = w.extract(tree, *w.region([1, w.wrapper_of(tree)])) or ""
-                texts.append(text)
+                texts.append(text or w.own_text(tree))  # the latter if unlike the host's other pages
             yield pa.record_batch({"page_id": batch.column("page_id").cast(pa.int64()),
                                    "url": batch.column("url"), "text": pa.array(texts, pa.string()),
                                    "n_chars": pa.array([len(t) for t in texts], pa.int64())})

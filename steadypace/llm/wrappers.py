@@ -33,6 +33,14 @@ ASIDE_NAMES = frozenset(
     "menus nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended comment "
     "comments discussion disqus respond reply replies newsletter subscribe subscription signup footer footers "
     "popup modal overlay login search toolbar pagination pager widget masthead topbar copyright".split())
+BEFORE = frozenset(
+    "site page main primary secondary tertiary top bottom left right global head header mobile desktop user post "
+    "article entry blog google gpt dfp inline sticky fixed floating side email js wp block the".split())
+AFTER = frozenset(
+    "bar box wrap wrapper container block area list item items link links button buttons btn section panel slot "
+    "unit inner outer left right top bottom main primary secondary title heading header icon icons toggle "
+    "posts stories articles media message group row col column zone space place placeholder rail tray strip "
+    "form field input this thread".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -115,18 +123,32 @@ def _aside(tag: str, rest: str) -> bool:
 
 
 def is_aside(label: str) -> bool:
-    """Whether an element's name or attributes say it is not the article."""
+    """Whether an element's name or attributes say it is not the article. The whole page is never an aside,
+    and class words and ids alone do not make one of main and article."""
     tag, *names = label.split(" ")
     if tag in ASIDE_TAGS:
         return True
+    if tag in ("html", "body"):
+        return False
     for name in names:
         if name == "@hidden" or (name[0] == "@" and name[1:] in ASIDE_ROLES):
             return True
-        if not name.startswith("@") and not ASIDE_NAMES.isdisjoint(re.split(r"[-_:]+", name)):
+        if name[0] != "@" and tag not in ("main", "article") and _names_aside(name):
             return True
     return False
 
 
+def _names_aside(name: str) -> bool:
+    """Whether a class word or id is an aside word, alone or between words that say where it is or what it
+    is made of: "site-footer", "ad-box", "comment-list", but not "no-sidebar", "comments-open", "ad-free"."""
+    parts = [part for part in re.split(r"[-_:]+", name) if part]
+    while parts and parts[0] not in ASIDE_NAMES and parts[0] in BEFORE:
+        del parts[0]
+    if not parts or parts[0] not in ASIDE_NAMES:
+        return False
+    return all(part in ASIDE_NAMES or part in AFTER for part in parts)
+
+
 def _text(node: list, text: str) -> None:
     children = node[1]
     if children and isinstance(children[-1], str):
@@ -265,8 +287,9 @@ def _in_frame(path: list[str]) -> bool:
     return all(_tag(label) in ("html", "body") for label in path)
 
 
-def extract(page: list, path: list[str]) -> str | None:
-    """Text blocks of the region in page order; None if the page has no such region."""
+def extract(page: list, path: list[str], named: bool = True) -> str | None:
+    """Text blocks of the region in page order; None if the page has no such region. Unless ``named``, only
+    tags tell what is an aside."""
     nodes = [page]
     for label in path:
         nodes = [c for n in nodes for c in n[1] if isinstance(c, list) and c[0] == label]
@@ -274,11 +297,17 @@ def extract(page: list, path: list[str]) -> str | None:
         return None
     blocks: list[str] = []
     for node in nodes:
-        _blocks(node, blocks, _in_frame(path))
+        _blocks(node, blocks, _in_frame(path), named)
     return " ".join(blocks)
 
 
-def _blocks(node: list, out: list[str], outside: bool) -> None:
+def own_text(page: list) -> str:
+    """Text of a page by itself: of its own region or, if that is empty, of all that its tags do not
+    call an aside."""
+    return extract(page, *region([1, wrapper_of(page)])) or extract(page, [], named=False) or ""
+
+
+def _blocks(node: list, out: list[str], outside: bool, named: bool) -> None:
     for child in node[1]:
         if child is None:
             continue
@@ -286,5 +315,9 @@ def _blocks(node: list, out: list[str], outside: bool) -> None:
             text = clean(child)
             if text:
                 out.append(text)
-        elif not is_aside(child[0]) and not (outside and child[0].split(" ")[0] == "header"):
-            _blocks(child, out, outside and child[0].split(" ")[0] in ("html", "body"))
+        elif not is_aside(child[0] if named else _unnamed(child[0])) and not (outside and _tag(child[0]) == "header"):
+            _blocks(child, out, outside and _tag(child[0]) in ("html", "body"), named)
+
+
+def _unnamed(label: str) -> str:
+    return " ".join(w for i, w in enumerate(label.split(" ")) if not i or w[0] == "@")

@@ -5,7 +5,7 @@ import re
 
 from steadypace.llm.pages import host_wrappers, main_text
 from steadypace.llm.urls import judge_urls
-from steadypace.llm.wrappers import align, combine, extract, parse, region, wrapper_of
+from steadypace.llm.wrappers import align, combine, extract, is_aside, own_text, parse, region, wrapper_of
 from steadypace.llm.queries import ORACLE, URL_RULES, op10_urls
 from pyspark.sql import functions as F
 
@@ -128,3 +128,18 @@ def test_the_region_holds_all_of_the_article():
     assert not any(t.startswith("Name") for t in texts_by_wrapper([frame.format(two.format(i=i)) for i in range(3)]))
     beside = "<body><article><p>a {i}</p></article><section><h2>b {i}</h2><div>c {i}</div></section></body>"
     assert texts_by_wrapper([beside.format(i=i) for i in range(3)]) == [f"a {i} b {i} c {i}" for i in range(3)]
+
+
+def test_names_that_are_no_asides():
+    for label in ("body has-sidebar", "body no-sidebar", "html menu", "main with-menu", "article comments-open post",
+                  "div ad-free content", "p notice-date", "div no-comments", "div content", "article comment"):
+        assert not is_aside(label), label
+    for label in ("div ad-box", "div sidebar", "div sidebar-left", "section comments", "div site-footer", "div main-menu",
+                  "div ad-", "ul comment-list", "div cookie-banner", "div post-comments", "nav x", "article @hidden"):
+        assert is_aside(label), label
+    page = ("<html><body class='has-sidebar'><main class='with-menu'><article class='post comments-open'><h1>T {i}</h1>"
+            "<div class='ad-free content'>one</div><p class='notice-date'>two</p><div class='ad'>no</div></article></main>"
+            "<div class='sidebar'>no</div></body></html>")
+    assert texts_by_wrapper([page.format(i=i) for i in range(3)]) == [f"T {i} one two" for i in range(3)]
+    assert own_text(parse("<body><div class=notice>only this</div><nav>no</nav></body>")) == "only this"
+    assert own_text(parse("<body><nav>no</nav></body>")) == ""
