@@ -42,15 +42,19 @@ AFTER = frozenset(
     "posts stories articles media message group row col column zone space place placeholder rail tray strip "
     "form field input this thread".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
+MARKS = ASIDE_ROLES | {"main", "articlebody"}
+MOST_CHILDREN = 64
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_CLASS = re.compile(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
-def parse(page: str) -> list:
+def parse(page: str, words: frozenset | None = None) -> list:
     """The page as a root node of nested [label, children]; texts are strings. Inline tags leave no trace,
-    elements of no text content are dropped, missing end tags are filled in."""
+    elements of no text content are dropped, missing end tags are filled in. Only class words among
+    ``words`` are in labels; all are if that is None."""
     root: list = ["", []]
     stack, at, skip = [root], 0, ""
     for token in _TOKEN.finditer(page):
@@ -88,7 +92,7 @@ def parse(page: str) -> list:
             closes = set(closes) | {"p"}
         while len(stack) > 1 and stack[-1][0].split(" ")[0] in closes:
             stack.pop()
-        node = [_label(tag, token["rest"]), []]
+        node = [_label(tag, token["rest"], words), []]
         stack[-1][1].append(node)
         if not token["rest"].endswith("/"):
             stack.append(node)
@@ -97,13 +101,21 @@ def parse(page: str) -> list:
     return root
 
 
-def _label(tag: str, rest: str) -> str:
+def _label(tag: str, rest: str, words: frozenset | None = None) -> str:
+    """Tag, marks and class words. Ids are often a page's own: they only tell an aside, whose class words
+    are left out too."""
     names = _attributes(rest)
-    return " ".join([tag, *sorted(names)]) if names else tag
+    if not names:
+        return tag
+    marks = {name for name in names if name[0] == "@"}
+    if is_aside(" ".join([tag, *(name.lstrip("#") or "#" for name in names - marks)])):
+        return " ".join([tag, *sorted(marks), "@named"])
+    kept = {name for name in names - marks if name[0] != "#" and (words is None or name in words)}
+    return " ".join([tag, *sorted(marks | kept)])
 
 
 def _attributes(rest: str) -> set[str]:
-    """Words of class, id and role; numbers in them vary from page to page and are left out."""
+    """Class words, ids after "#", and marks after "@"; numbers vary from page to page and are left out."""
     if "=" not in rest and "hidden" not in rest.lower():
         return set()
     out = set()
@@ -112,12 +124,23 @@ def _attributes(rest: str) -> set[str]:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             out.add("@hidden")
         elif name in ("role", "itemprop"):
-            out.add(f"@{value}")
+            out.update(f"@{w}" for w in value.split() if w in MARKS)
+        elif name == "id":
+            out.update(f"#{w}" for w in _words(value))
         else:
-            out.update(w for w in re.split(r"[\s]+", re.sub(r"\d+", "", value)) if w)
+            out.update(w for w in _words(value) if w[0] not in "@#")
     return out
 
 
+def _words(value: str) -> list[str]:
+    return re.sub(r"\d+", "", value.lower()).split()
+
+
+def class_words(page: str) -> set[str]:
+    """Words that labels of the page may have."""
+    return {w for value in _CLASS.findall(page) for w in _words(value.strip("\"'"))}
+
+
 def _aside(tag: str, rest: str) -> bool:
     return is_aside(_label(tag, rest))
 
@@ -131,7 +154,7 @@ def is_aside(label: str) -> bool:
     if tag in ("html", "body"):
         return False
     for name in names:
-        if name == "@hidden" or (name[0] == "@" and name[1:] in ASIDE_ROLES):
+        if name in ("@hidden", "@named") or (name[0] == "@" and name[1:] in ASIDE_ROLES):
             return True
         if name[0] != "@" and tag not in ("main", "article") and _names_aside(name):
             return True
@@ -170,10 +193,10 @@ def clean(text: str) -> str:
 
 
 def wrapper_of(node: list) -> list:
-    """The wrapper of a single page: repeated neighbours folded."""
+    """The wrapper of a single page: repeated neighbours folded, asides left out."""
     children: list = []
     for child in node[1]:
-        if child is None:
+        if child is None or (not isinstance(child, str) and is_aside(child[0])):
             continue
         if isinstance(child, str):
             text = clean(child)
@@ -183,10 +206,11 @@ def wrapper_of(node: list) -> list:
         else:
             new = wrapper_of(child)
         if children and children[-1][0] == new[0] != "#":
-            children[-1] = _merge(children[-1], new)
+            children[-1] = _merge(children[-1], new, True)
             children[-1][1], children[-1][4] = "+", 1
         else:
             children.append(new)
+    children = _folded(children, True)
     return [node[0], "1", children, sum(c[3] for c in children), 1]
 
 
@@ -199,18 +223,38 @@ def _optional(node: list) -> list:
     return [node[0], _kind(node[1], "?"), *node[2:]]
 
 
-def _merge(a: list, b: list) -> list:
+def _merge(a: list, b: list, one_page: bool = False) -> list:
+    """Texts of one page become one text together; different texts of two pages become a slot."""
     if a[0] == "#":
-        return ["#", _kind(a[1], b[1]), a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4]]
-    return [a[0], _kind(a[1], b[1]), align(a[2], b[2]), a[3] + b[3], a[4] + b[4]]
+        text = a[2] if a[2] == b[2] else None
+        if one_page and a[2] is not None and b[2] is not None:
+            text = (31 * a[2] + b[2]) & 0xFFFFFFFF
+        return ["#", _kind(a[1], b[1]), text, a[3] + b[3], a[4] + b[4]]
+    return [a[0], _kind(a[1], b[1]), align(a[2], b[2], one_page), a[3] + b[3], a[4] + b[4]]
+
+
+def _folded(children: list, one_page: bool) -> list:
+    """Long streams lose the order of their elements: those of one label become one repeated group, so a
+    stream has at most ``MOST_CHILDREN`` elements or one for each label."""
+    if len(children) <= MOST_CHILDREN:
+        return children
+    groups: dict[str, list] = {}
+    for child in children:
+        if child[0] in groups:
+            pages = max(groups[child[0]][4], child[4])
+            groups[child[0]] = _merge(groups[child[0]], child, one_page)
+            groups[child[0]][1], groups[child[0]][4] = _kind(groups[child[0]][1], "+"), pages
+        else:
+            groups[child[0]] = child
+    return list(groups.values())
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, one_page: bool = False) -> list:
     """Align two streams; what only one of them has becomes optional."""
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i][0] == b[j][0]:
-            out.append(_merge(a[i], b[j]))
+            out.append(_merge(a[i], b[j], one_page))
             i, j = i + 1, j + 1
             continue
         in_a = next((k for k in range(i + 1, len(a)) if a[k][0] == b[j][0]), None)
@@ -225,7 +269,7 @@ def align(a: list, b: list) -> list:
             out.append(_optional(a[i]))
             out.append(_optional(b[j]))
             i, j = i + 1, j + 1
-    return out + [_optional(n) for n in a[i:]] + [_optional(n) for n in b[j:]]
+    return _folded(out + [_optional(n) for n in a[i:]] + [_optional(n) for n in b[j:]], one_page)
 
 
 def combine(a: list, b: list) -> list:
@@ -320,4 +364,4 @@ def _blocks(node: list, out: list[str], outside: bool, named: bool) -> None:
 
 
 def _unnamed(label: str) -> str:
-    return " ".join(w for i, w in enumerate(label.split(" ")) if not i or w[0] == "@")
+    return " ".join(w for i, w in enumerate(label.split(" ")) if not i or (w[0] == "@" and w != "@named"))

@@ -134,6 +134,7 @@ def test_names_that_are_no_asides():
     for label in ("body has-sidebar", "body no-sidebar", "html menu", "main with-menu", "article comments-open post",
                   "div ad-free content", "p notice-date", "div no-comments", "div content", "article comment"):
         assert not is_aside(label), label
+    assert is_aside(parse("<div id=comments class=x>t</div>")[1][0][0])
     for label in ("div ad-box", "div sidebar", "div sidebar-left", "section comments", "div site-footer", "div main-menu",
                   "div ad-", "ul comment-list", "div cookie-banner", "div post-comments", "nav x", "article @hidden"):
         assert is_aside(label), label
@@ -143,3 +144,24 @@ def test_names_that_are_no_asides():
     assert texts_by_wrapper([page.format(i=i) for i in range(3)]) == [f"T {i} one two" for i in range(3)]
     assert own_text(parse("<body><div class=notice>only this</div><nav>no</nav></body>")) == "only this"
     assert own_text(parse("<body><nav>no</nav></body>")) == ""
+
+
+def test_wrappers_do_not_grow_with_the_pages_of_a_host(spark):
+    def slug(i):
+        return "".join(chr(97 + int(c)) for c in str(7919 * i + 10**6))
+
+    def page(i):
+        blocks = "".join(f"<{t} class='c{slug(i)}'>{t} {i}</{t}>" for t in ("p", "ul", "h2", "pre")[i % 3:] * (1 + i % 30))
+        return (f"<body><div class='top'>Name</div><article id='{slug(i)}' class='post x-{slug(i)}'><h1>T {i}</h1>{blocks}"
+                "</article></body>")
+
+    def pages(n):
+        return spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(n)],
+                                     "page_id long, url string, html string").repartition(4)
+
+    for n in (500, 5000):
+        assert len(host_wrappers(pages(n).withColumn("host", F.lit("h"))).first()["wrapper"]) < 6_000
+    for r in main_text(pages(5000)).collect():
+        i = r["page_id"]
+        rest = [f"{t} {i}" for t in ("p", "ul", "h2", "pre")[i % 3:] * (1 + i % 30)]
+        assert r["text"] == " ".join([f"T {i}", *rest])
