@@ -57,15 +57,17 @@ class WordIds(dict):
 
 
 class Encoder:
-    """Ids of whole texts. Texts of simple characters are split at white space and each word is encoded
-    once; every other text goes through the tokenizer as a whole."""
+    """Ids of whole texts, as the tokenizer file gives them without its special tokens around. Texts of
+    simple characters are split at white space and each word is encoded once; every other text, and one
+    that holds the content of an added token, goes through the tokenizer as a whole."""
 
     def __init__(self, path: str, word_memory: int = GENERATION):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content.lower() for token in added]
         self.parts = WordIds(self._part, word_memory // 4)
         self.words = WordIds(self._word, word_memory)
         # Bytes stand for themselves or, if not printable, for the characters from 256 on, in order.
@@ -82,7 +84,9 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if SIMPLE.fullmatch(text):
-            return b"".join(map(self.words.__getitem__, text.lower().split()))
+            folded = text.lower()
+            if not any(token in folded for token in self.added):
+                return b"".join(map(self.words.__getitem__, folded.split()))
         encoded = self.tokenizer.encode(text, add_special_tokens=False)
         return np.array(encoded.ids, "<u4").tobytes()
 

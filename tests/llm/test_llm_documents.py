@@ -126,6 +126,21 @@ def test_packing_covers_every_id_once(spark, docs, empty):
     assert {r["ids_crc32"] for r in digests} == {zlib.crc32(ids[4 * s:4 * (s + n)]) for s, n in lengths}
 
 
+def test_packing_knows_the_tokens_of_the_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    plain = Tokenizer.from_file(path)
+    texts = ["end here <|endoftext|> next", "<|startoftext|>a b<|endoftext|>", "x<|endoftext|>é 日 <|startoftext|>",
+             "<|ENDOFTEXT|> <|endof text|>", "no marker", "<|endoftext|>"]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    for i, text in enumerate(texts):
+        pieces = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        ids = np.frombuffer(b"".join(r["ids"] for r in pieces), "<u4").tolist()
+        assert ids == [*plain.encode(text, add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("bound", [500_000, 3])
 def test_contamination_equals_brute_force(spark, docs, empty, bound):
     rows = docs.collect()
