@@ -3,8 +3,10 @@
 A text is put into a canonical form - ASCII letters lower-cased, lines that only state a copyright left
 out, equivalent spellings made one, everything but letters and digits turned into single spaces - and the
 SHA-256 digest of the whole form is joined with the digests of known licence texts and notices. The scan
-looks up each whole document and each whole line of it, as notices usually stand on a line of their own.
-Everything is DataFrame functions.
+looks up each whole document, each whole line of it, and its paragraphs: blocks between lines without letters
+and digits, line breaks joined, copyright lines left out. A known text is in a document if all of its
+paragraphs follow each other there, so one with other text around is found as long as its paragraphs are
+kept. Everything is DataFrame functions.
 
 Lines are looked up as distinct digests: the same notice on a third of all lines is one row of the join,
 and hits come back to the documents through the digest.
@@ -16,12 +18,28 @@ alphabetically first counts. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Notices as they are usually written, and short licences in full.
+# Whole texts, a file for each licence; the notice of a text's owner is left out of some.
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+# Titles and lines that often stand before texts, and the line after which appendices begin.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License",
+                     "BSD 3-Clause \"New\" or \"Revised\" License"),
+    "Unlicense": ("The Unlicense",),
+}
+RESERVED = "All rights reserved."
+END = "END OF TERMS AND CONDITIONS"
+
+# Notices as they are usually written.
 KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -39,11 +57,17 @@ KNOWN = [
             "without fee is hereby granted, provided that the above copyright notice and this "
             "permission notice appear in all copies."),
 ]
-# A line that is only a copyright statement, and spellings that mean the same.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# What parts paragraphs, a line that is only a copyright statement, and spellings that mean the same.
+PARAGRAPH_END = r"\n[^A-Za-z0-9]*\n"
+# A wrapped line of a text may begin with the word too, as in "copyright notice".
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t]*(copyright(?![ \t\r]*(\n|$|[,.;:)/'\"-]|(notices?|holders?|owners?|laws?|licen[cs]es?|interests?|"
+    r"statements?|permission|protection|treat(y|ies)|disclaimers?|rights?|status|acts?|and|or|on|to|of|in|is|for|as|"
+    r"under|that|the[ \t\r]*(\n|software|program|library|work))\b))|\(c\)[ \t]*(copyright|[0-9\[<{])|©)[^\n]*"
+)
 SPELLINGS = [
     (r"licence", "license"), (r"sub-?licens", "sublicens"), (r"noninfringement", "non-infringement"),
-    (r"copyright holders?", "copyright owner"), (r"https?://", "//"), (r"\bv(ersion)? ?([0-9])", "version $2"),
+    (r"copyright\s+holders?", "copyright owner"), (r"https?://", "//"), (r"\bv(ersion)? ?([0-9])", "version $2"),
 ]
 
 
@@ -59,13 +83,58 @@ def digest(form: Column) -> Column:
     return F.sha2(form.cast("binary"), 256)
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """Known licence texts, with and without usual titles and appendices."""
+    out = []
+    for file in sorted(os.listdir(TEXTS)):
+        name = file.removesuffix(".txt")
+        with open(os.path.join(TEXTS, file), encoding="utf-8") as opened:
+            text = opened.read()
+        texts = [text]
+        if END in text:
+            texts.append(text[: text.index(END) + len(END)])
+        if name.startswith("BSD"):
+            texts.append(f"{RESERVED}\n\n{text}")
+        texts += [f"{title}\n\n{text}" for title in TITLES.get(name, ()) for text in texts]
+        out += [(name, text) for text in texts]
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    return spark.createDataFrame([*KNOWN, *whole_texts()], "license string, text string")
+
+
+def paragraphs(text: Column) -> Column:
+    """Canonical forms of the paragraphs that have one, in order."""
+    return F.filter(F.transform(F.split(text, PARAGRAPH_END), canonical), lambda form: form != "")
+
+
+def _runs(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, license) of known texts whose paragraphs all follow each other in a document. Documents of
+    one paragraph are left to the look-up of the whole."""
+    blocks = known.dropna().select("license", paragraphs(F.col("text")).alias("blocks"))
+    parts = (
+        blocks.select("license", digest(F.array_join("blocks", "\n")).alias("run"), F.size("blocks").alias("n"),
+                      F.posexplode("blocks").alias("k", "form"))
+        .groupBy("run", "n", "k", digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"))
+    )
+    # Rows that repeat a doc_id are kept apart by a number of their own.
+    found = (
+        docs.where(F.col("text").rlike(PARAGRAPH_END))
+        .select("doc_id", F.monotonically_increasing_id().alias("row"), paragraphs(F.col("text")).alias("blocks"))
+        .select("doc_id", "row", F.posexplode("blocks").alias("at", "form"))
+        .select("doc_id", "row", "at", digest(F.col("form")).alias("digest"))
+    )
+    return (
+        found.join(parts, "digest")
+        .groupBy("doc_id", "row", "run", "license", "n", (F.col("at") - F.col("k")).alias("start"))
+        .agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") == F.col("n")).select("doc_id", "license")
+    )
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, text_sha256 (of the whole canonical form), license (of the whole text,
-    else null), licenses (of its lines and of the whole, sorted, comma-joined; else empty)."""
+    else null), licenses (of its lines, runs of paragraphs and the whole, sorted, comma-joined; else empty)."""
     table = (
         known.dropna().select("license", canonical(F.col("text")).alias("form")).where(F.col("form") != "")
         .groupBy(digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"))
@@ -81,7 +150,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
         "doc_id", digest(F.col("form")).alias("digest"))
     whole = table.toDF("text_sha256", "license")
     in_lines = (
-        posted.join(table, "digest").groupBy("doc_id")
+        posted.join(table, "digest").select("doc_id", "license").unionByName(_runs(docs, known)).groupBy("doc_id")
         .agg(F.collect_set("license").alias("in_lines")).withColumnRenamed("doc_id", "found_id")
     )
     found = signed.drop("lines").join(whole, "text_sha256", "left")

@@ -11,7 +11,7 @@ import pytest
 from steadypace.llm import quality, toxicity
 from steadypace.llm.decontaminate import contamination, drop_contaminated, report
 from steadypace.llm.fingerprints import fingerprints
-from steadypace.llm.licenses import known_licenses, scan_licenses
+from steadypace.llm.licenses import known_licenses, scan_licenses, whole_texts
 from steadypace.llm.near_dedup import keep_one, near_duplicates
 from steadypace.llm.packing import Encoder, pack, piece_digests
 from steadypace.llm.sharding import kd_shards
@@ -229,6 +229,32 @@ def test_licenses_of_lines_and_whole_texts(spark, empty):
     assert scan_licenses(empty, known_licenses(spark)).count() == 0
 
 
+def test_licenses_in_full(spark):
+    import textwrap
+
+    texts = dict(reversed(whole_texts()))
+    mit = [" ".join(p.split()) for p in texts["MIT"].split("\n\n")[-3:]]
+    wrapped = "\n\n".join(textwrap.fill(p, 50) for p in mit)
+    rows = [(1, "MIT License\r\n\r\nCopyright (c) 2031 Someone Else\r\n\r\n" + wrapped.replace("\n", "\r\n")),
+            (2, "# About\n\nA tool.\n\n## Licence\n\nCopyright 2001 A\n" + wrapped + "\n\nThe end."),
+            (3, "Before.\n\nReleased under the\nMIT License.\n\nAfter."),
+            (4, wrapped[: wrapped.rindex("\n\n")] + "\n\nother words"), (5, texts["GPL-3.0"]), (6, "x\n\n" + texts["BSD-2-Clause"]),
+            (7, "\n" * 9000 + "plain")]
+    rows += [(100 + i, text) for i, text in enumerate(texts.values())]
+    short = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"]
+    for i, name in enumerate(short):
+        for width in range(30, 90):
+            folded = "\n\n".join(textwrap.fill(p, width) for p in texts[name].split("\n\n"))
+            rows.append((1000 * (i + 1) + width, f"Copyright 1999 The Owners\n{folded}\n\nmore"))
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), known_licenses(spark)).collect()
+    got = {r["doc_id"]: (r["license"], r["licenses"]) for r in found}
+    assert got[1] == ("MIT", "MIT") and got[2] == (None, "MIT") and got[3] == (None, "MIT") and got[4] == (None, "")
+    assert got[5] == ("GPL-3.0", "GPL-3.0") and got[6] == (None, "BSD-2-Clause") and got[7] == (None, "")
+    for i, name in enumerate(short):
+        assert {got[1000 * (i + 1) + width][1] for width in range(30, 90)} == {name}
+    assert len(texts) >= 15 and [got[100 + i][0] for i in range(len(texts))] == list(texts)
+
+
 def test_classifiers_on_held_out_rows(spark, folder, docs, empty):
     folder = folder.replace("0.001", "0.01")
     table = spark.read.parquet(f"{folder}/documents.parquet")
