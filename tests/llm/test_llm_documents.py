@@ -12,7 +12,7 @@ from steadypace.llm import quality, toxicity
 from steadypace.llm.decontaminate import contamination, drop_contaminated, report
 from steadypace.llm.fingerprints import fingerprints
 from steadypace.llm.licenses import known_licenses, scan_licenses, whole_texts
-from steadypace.llm.near_dedup import keep_one, near_duplicates
+from steadypace.llm.near_dedup import keep_one, keep_one_row, near_duplicates
 from steadypace.llm.packing import Encoder, pack, piece_digests
 from steadypace.llm.sharding import kd_shards
 from pyspark.sql import functions as F
@@ -91,6 +91,18 @@ def test_near_copies_that_no_pivot_reaches(spark):
     assert {r["component_id"] for r in found} == {0}
 
 
+def test_one_row_of_each_group_stays(spark, empty):
+    text = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(5, text("a"))] * 40 + [(None, text("b"))] * 30 + [(None, text("c")), (9, text("c")), (3, text("c"))]
+    rows += [(7, text("d")), (7, text("e")), (6, text("d")), (8, None), (8, None), (None, ""), (2, text("f") + " z"),
+             (2, text("f")), (1, text("g"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = [(5, text("a")), (None, text("b")), (3, text("c")), (6, text("d")), (7, text("e")), (8, None), (8, None),
+            (None, ""), (2, text("f")), (1, text("g"))]
+    assert Counter(map(tuple, keep_one_row(docs, 3, 80).collect())) == Counter(kept)
+    assert keep_one_row(empty, 3, 80).count() == 0
+
+
 def test_packing_covers_every_id_once(spark, docs, empty):
     import public_tokenizers
 
