@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from steadypace.session import materialise
+
 
 def held_out(doc_id: Column) -> Column:
     """Rows no label is learned from: crc32 of the id as text leaves 1 when divided by 3."""
@@ -14,13 +16,15 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """doc_id, text, y, weight: at most ``per_class`` documents of each class, picked by a hash of the id.
-    ``weight`` restores the classes' shares among all training rows. Rows with a null id or label and
+    ``weight`` restores the classes' shares among all training rows. Labels of ids that ``docs`` does not
+    have count for nothing. Rows with a null id or label and
     labels that contradict each other are left out."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_most"))
         .where(F.col("y") == F.col("_most")).drop("_most")
     )
+    known = materialise(known.join(docs.select("doc_id"), "doc_id", "left_semi"))
     share = known.agg(F.avg("y")).first()[0]
     share = 0.5 if share is None else float(share)
     picked = None

@@ -11,6 +11,7 @@ import pytest
 from steadypace.llm import quality, toxicity
 from steadypace.llm.decontaminate import contamination, drop_contaminated, report
 from steadypace.llm.fingerprints import fingerprints
+from steadypace.llm.labelled import held_out, training_rows
 from steadypace.llm.licenses import known_licenses, scan_licenses, whole_texts
 from steadypace.llm.near_dedup import keep_one, keep_one_row, near_duplicates
 from steadypace.llm.packing import Encoder, pack, piece_digests
@@ -281,3 +282,15 @@ def test_classifiers_on_held_out_rows(spark, folder, docs, empty):
         assert module.keep(docs, model).columns == docs.columns
         blank = module.train(empty, labels.where("false"))
         assert module.keep(docs, blank).count() == docs.count()
+
+
+def test_labels_of_absent_documents_take_no_place_in_the_sample(spark):
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("y0"))
+    docs = spark.range(2900, 3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    docs = docs.where("doc_id % 2 = 0 or doc_id % 10 = 1")
+    rows = training_rows(docs, labels, "y0", 20).collect()
+    there = docs.where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id") % 2).count().collect()
+    counts = {r[0]: r[1] for r in there}
+    assert Counter(r["y"] for r in rows) == {y: min(20, n) for y, n in counts.items()}
+    share = counts[1] / (counts[0] + counts[1])
+    assert {(r["y"], round(r["weight"], 9)) for r in rows} == {(1, round(2 * share, 9)), (0, round(2 - 2 * share, 9))}
