@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from steadypace.llm import quality, toxicity
 from steadypace.llm.decontaminate import contamination, report
 from steadypace.llm.fingerprints import fingerprints
+from steadypace.llm.hard_negatives import hard_negatives, shifted_labels
 from steadypace.llm.licenses import KNOWN, known_licenses, scan_licenses
 from steadypace.llm.near_dedup import near_duplicates
 from steadypace.llm.packing import piece_digests
@@ -79,11 +80,16 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(shifted_labels(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_near_dedup, op3_packing, op4_decontamination, op5_main_text,
     op6_fingerprints, op7_sharding, op8_licenses, op9_toxicity, op10_urls,
+    op11_hard_negatives,
 )}
-# Only the URL rules have a plain SQL form.
+# What is defined exactly enough for plain SQL.
 ORACLE: dict[str, str] = {"op10_urls": """
     WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
                                    ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
@@ -96,4 +102,27 @@ ORACLE: dict[str, str] = {"op10_urls": """
     judged AS (SELECT *, (SELECT arg_max({'rule': h || p, 'verdict': v}, length(h || p)) FROM rules
                           WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best
                FROM parts)
-    SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged"""}
+    SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged""",
+    "op11_hard_negatives": """
+    WITH rows AS (
+        SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+               CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v, true), lambda z: z[1] * z[2])), 0) AS BIGINT)
+                   AS score
+        FROM rows a JOIN rows b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+    positives AS (
+        SELECT * FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, r) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id,
+           CAST(row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id NULLS LAST, n.r) AS INTEGER)
+               AS rank,
+           n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+         AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+    QUALIFY rank <= 5""",
+}
