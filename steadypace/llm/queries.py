@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadypace.llm import quality, toxicity
+from steadypace.llm.bpe_trie import digests
 from steadypace.llm.decontaminate import contamination, report
 from steadypace.llm.fingerprints import fingerprints
 from steadypace.llm.hard_negatives import hard_negatives, shifted_labels
@@ -84,10 +85,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(shifted_labels(table(spark, sf_dir, "embeddings")))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"), tokenizer())
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_near_dedup, op3_packing, op4_decontamination, op5_main_text,
     op6_fingerprints, op7_sharding, op8_licenses, op9_toxicity, op10_urls,
-    op11_hard_negatives,
+    op11_hard_negatives, op12_bpe,
 )}
 # What is defined exactly enough for plain SQL.
 ORACLE: dict[str, str] = {"op10_urls": """
