@@ -14,6 +14,7 @@ from steadypace.llm.licenses import KNOWN, known_licenses, scan_licenses
 from steadypace.llm.near_dedup import near_duplicates
 from steadypace.llm.packing import piece_digests
 from steadypace.llm.pages import main_text
+from steadypace.llm.ranked_search import ranked_search
 from steadypace.llm.sharding import kd_shards
 from steadypace.llm.urls import judge_urls
 
@@ -89,10 +90,14 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_near_dedup, op3_packing, op4_decontamination, op5_main_text,
     op6_fingerprints, op7_sharding, op8_licenses, op9_toxicity, op10_urls,
-    op11_hard_negatives, op12_bpe,
+    op11_hard_negatives, op12_bpe, op13_ranked_search,
 )}
 # What is defined exactly enough for plain SQL.
 ORACLE: dict[str, str] = {"op10_urls": """
@@ -130,4 +135,32 @@ ORACLE: dict[str, str] = {"op10_urls": """
     FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
          AND 80 * p.score <= 100 * n.score AND n.score <= p.score
     QUALIFY rank <= 5""",
+    "op13_ranked_search": r"""
+    WITH words AS (
+        SELECT row_number() OVER () AS d, doc_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents),
+    kept AS (SELECT d, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM words WHERE len(terms) > 0),
+    totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM kept),
+    tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM kept) GROUP BY ALL),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+        FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+    asked AS (
+        SELECT i, item_id, term, count(*) AS repeats
+        FROM (SELECT i, item_id, unnest(terms) AS term FROM (
+            SELECT row_number() OVER () AS i, item_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM benchmark)) GROUP BY ALL),
+    scored AS (
+        SELECT i, any_value(item_id) AS item_id, d, any_value(doc_id) AS doc_id,
+               CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))
+                    AS BIGINT) AS score
+        FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN kept USING (d), totals
+        GROUP BY i, d)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, d) AS INTEGER) AS rank,
+           doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 20""",
 }
