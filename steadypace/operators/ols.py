@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from steadypace.operators.moments import COUNT, MEAN, ROWS, SQUARES, cell_moments
 from steadypace.operators.skew import broadcast_if_small, null_safe_join
 from steadypace.session import materialise
 
@@ -233,40 +234,61 @@ class StepModel:
         )
 
 
+POSITION, AFTER = "_x", "_post"
+
+
+def step_cells(df: DataFrame, ys: Sequence[str], x: str, post: Column) -> DataFrame:
+    """Moments of the outcomes by position and side; rows without either are left out."""
+    keyed = df.select(F.col(x).cast("double").alias(POSITION), post.alias(AFTER), *ys)
+    known = keyed.where(F.col(POSITION).isNotNull() & F.col(AFTER).isNotNull())
+    return cell_moments(known, [POSITION, AFTER], ys)
+
+
 def step_models(
     df: DataFrame, ys: Sequence[str], x: str, post: Column, degree: int = 3, scale: float = 365.0
 ) -> list[StepModel]:
-    """Fit y ~ poly(x, degree) + post for several outcomes in one pass.
+    """Fit y ~ poly(x, degree) + post for several outcomes; ``df`` is read once."""
+    cells = materialise(step_cells(df, ys, x, post))
+    return fit_step_cells(cells, ys, F.col(POSITION), F.col(AFTER), degree, scale)
+
+
+def fit_step_cells(
+    cells: DataFrame, ys: Sequence[str], x: Column, post: Column, degree: int = 3, scale: float = 365.0
+) -> list[StepModel]:
+    """Fit y ~ poly(x, degree) + post from stored cells (``cell_moments``), which are read twice.
 
     The step, its standard error and the fitted values do not depend on the polynomial basis. A first
-    row, the mean and spread of x, gives the basis in which sums of powers are well conditioned wherever
-    x lies; only those sums, one row, reach the driver, where a (degree+2) square system is solved. The
-    coefficients are given for powers of x/scale.
+    row, the mean and spread of x and the mean of each y, gives a basis in which sums of powers are well
+    conditioned wherever x and y lie; only those sums, one row, reach the driver, where a (degree+2) square
+    system is solved. The coefficients are given for powers of x/scale.
     """
-    at = F.col(x).cast("double")
-    centre, spread = df.agg(F.avg(at), F.stddev_pop(at)).first()
-    centre, spread = float(centre or 0.0), float(spread or 0.0) or 1.0
+    at, rows = x.cast("double"), F.col(ROWS)
+    seen = F.when(at.isNotNull(), rows)
+    means = [F.sum(F.col(f"{y}_{COUNT}") * F.col(f"{y}_{MEAN}")) / F.nullif(F.sum(f"{y}_{COUNT}"), F.lit(0))
+             for y in ys]
+    first = cells.agg(F.sum(seen), F.sum(seen * at), F.sum(seen * at * at), *means).first()
+    total = float(first[0] or 0)
+    centre = float(first[1]) / total if total else 0.0
+    spread = math.sqrt(max(float(first[2]) / total - centre * centre, 0.0)) if total else 0.0
+    spread = spread or 1.0
+    middles = [float(m or 0.0) for m in first[3:]]
     z = (at - F.lit(centre)) / F.lit(spread)
     flag = F.when(post, 1.0).otherwise(0.0)
     columns = []
-    for i, name in enumerate(ys):
-        y = F.col(name).cast("double")
-        used = y.isNotNull() & z.isNotNull() & post.isNotNull()
-        sums = {f"z{k}": F.pow(z, F.lit(float(k))) for k in range(2 * degree + 1)}
-        sums |= {f"p{k}": flag * F.pow(z, F.lit(float(k))) for k in range(degree + 1)}
-        sums |= {f"y{k}": y * F.pow(z, F.lit(float(k))) for k in range(degree + 1)}
-        sums |= {"py": flag * y}
+    for i, (y, middle) in enumerate(zip(ys, middles)):
+        n, off = F.col(f"{y}_{COUNT}"), F.col(f"{y}_{MEAN}") - F.lit(middle)
+        used = (n > 0) & at.isNotNull() & post.isNotNull()
+        power = lambda k: F.pow(z, F.lit(float(k)))
+        sums = {f"z{k}": n * power(k) for k in range(2 * degree + 1)}
+        sums |= {f"p{k}": flag * n * power(k) for k in range(degree + 1)}
+        sums |= {f"y{k}": n * off * power(k) for k in range(degree + 1)}
+        sums |= {"py": flag * n * off, "n": n, "yy": F.col(f"{y}_{SQUARES}") + n * off * off}
         columns += [F.sum(F.when(used, e)).alias(f"m{i}_{k}") for k, e in sums.items()]
-        columns += [
-            F.avg(F.when(used, y)).alias(f"m{i}_mean"),
-            F.sum(F.when(used, 1)).alias(f"m{i}_n"),
-            F.regr_syy(F.when(used, y), F.when(used, z)).alias(f"m{i}_syy"),
-        ]
-    row = df.agg(*columns).collect()[0]
-    return [_solve_step(row, i, degree, scale, centre, spread) for i in range(len(ys))]
+    row = cells.agg(*columns).first()
+    return [_solve_step(row, i, degree, scale, centre, spread, m) for i, m in enumerate(middles)]
 
 
-def _solve_step(row, i: int, degree: int, scale: float, centre: float, spread: float) -> StepModel:
+def _solve_step(row, i: int, degree: int, scale: float, centre: float, spread: float, middle: float) -> StepModel:
     get = lambda k: float(row[f"m{i}_{k}"] or 0.0)
     p = degree + 2
     xtx, xty = np.empty((p, p)), np.empty(p)
@@ -278,18 +300,18 @@ def _solve_step(row, i: int, degree: int, scale: float, centre: float, spread: f
     xtx[-1, -1], xty[-1] = get("p0"), get("py")
     n = int(row[f"m{i}_n"] or 0)
     dof = n - p
-    # Unit diagonal before the solve; y is centred through the intercept for the residual sum.
+    # Unit diagonal before the solve; y is taken from its middle, which goes to the intercept.
     d = np.sqrt(np.diag(xtx))
     if dof <= 0 or not np.all(d > 0) or np.linalg.matrix_rank(xtx / np.outer(d, d), tol=1e-12) < p:
         nan = float("nan")
         return StepModel((nan,) * p, (nan,) * p, scale, n, dof, nan, nan, nan)
-    mean, syy = get("mean"), get("syy")
-    centred = xty - mean * xtx[:, 0]
     scaled = xtx / np.outer(d, d)
-    beta = np.linalg.solve(scaled, centred / d) / d
-    rss = max(syy - float(beta @ centred), 0.0)
+    beta = np.linalg.solve(scaled, xty / d) / d
+    around = get("yy")
+    rss = max(around - float(beta @ xty), 0.0)
+    syy = around - xty[0] * xty[0] / n
     inverse = np.linalg.inv(scaled) / np.outer(d, d)
-    beta[0] += mean
+    beta[0] += middle
     # From powers of (x - centre) / spread to powers of x / scale.
     change, power = np.eye(p), np.poly1d([1.0])
     for k in range(degree + 1):

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from steadypace.functions.scalars import simple_week
 from steadypace.functions.strict import strict_mean
+from steadypace.operators.moments import ROWS, cell_moments, complete_mean
 from steadypace.operators.panel import POST_TEXT, TREATMENT
 from steadypace.operators.sessions import PIECE, first_per_group
 from steadypace.operators.skew import null_safe_join
@@ -142,16 +143,28 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+DAY_KEYS, DAY_OUTCOMES = ("date_relative_1", "period"), ("early_rate", "mean_secs")
+
+
+def day_cells(panel: DataFrame) -> DataFrame:
+    """Moments of the daily outcomes by relative day and period: all that the day profile and the step models
+    need of the panel."""
+    return cell_moments(panel, DAY_KEYS, DAY_OUTCOMES)
+
+
 def day_profile(panel: DataFrame, predictions: Mapping[str, Column] | None = None,
                 span: int | None = 365) -> DataFrame:
-    """Days, mean outcomes and mean predictions by relative day and period.
+    """Days, mean outcomes and mean predictions by relative day and period."""
+    return profile_of_cells(day_cells(panel), predictions, span)
 
-    A prediction depends on day and period only, so it is computed per group, after aggregation.
-    """
-    profile = panel.groupBy("date_relative_1", "period").agg(
-        F.count(F.lit(1)).alias("n"),
-        strict_mean(F.col("early_rate")).alias("mean_early"),
-        strict_mean(F.col("mean_secs")).alias("mean_adherence"),
+
+def profile_of_cells(cells: DataFrame, predictions: Mapping[str, Column] | None = None,
+                     span: int | None = 365) -> DataFrame:
+    """The day profile from ``day_cells``. A prediction depends on day and period only, so it is computed
+    per cell."""
+    profile = cells.select(
+        *DAY_KEYS, F.col(ROWS).alias("n"), complete_mean("early_rate").alias("mean_early"),
+        complete_mean("mean_secs").alias("mean_adherence"),
     )
     if predictions:
         profile = profile.withColumns(dict(predictions))

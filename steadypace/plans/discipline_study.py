@@ -9,9 +9,10 @@ from steadypace import schemas
 from steadypace.functions.scalars import mask_id
 from steadypace.operators.daily import POST_DISCIPLINE, build_discipline_panel
 from steadypace.operators.effects import effect_table, rank_effects
-from steadypace.operators.ols import LEVEL, StepModel, discontinuity_by, step_models
-from steadypace.operators.profiles import day_profile
+from steadypace.operators.ols import LEVEL, StepModel, discontinuity_by, fit_step_cells
+from steadypace.operators.profiles import day_cells, profile_of_cells
 from steadypace.operators.quality import check_relationship, discipline_summary
+from steadypace.session import materialise
 from steadypace.sources.tables import (
     data_dictionary,
     save_coefficients,
@@ -28,33 +29,50 @@ def is_post(period: str = "period") -> Column:
     return F.col(period) == POST_DISCIPLINE
 
 
+def stored_cells(panel: DataFrame) -> DataFrame:
+    """``day_cells`` on reliable storage: one pass over the panel serves the models, the profile and the
+    fitted days."""
+    return materialise(day_cells(panel))
+
+
+def fit_cells(cells: DataFrame) -> dict[str, StepModel]:
+    """Cubic trend and step for both daily outcomes from stored cells."""
+    ys = [y for y, _ in OUTCOMES]
+    models = fit_step_cells(cells, ys, F.col("date_relative_1"), is_post())
+    return dict(zip(ys, models))
+
+
 def fit_step_models(panel: DataFrame) -> dict[str, StepModel]:
     """Cubic trend and step for both daily outcomes, in one pass over the panel."""
-    models = step_models(panel, [y for y, _ in OUTCOMES], "date_relative_1", is_post())
-    return {y: model for (y, _), model in zip(OUTCOMES, models)}
+    return fit_cells(stored_cells(panel))
+
+
+def _predictions(models: dict[str, StepModel]) -> dict[str, Column]:
+    day = F.col("date_relative_1")
+    return {
+        "mean_prediction": models["early_rate"].predict(day, is_post()),
+        "mean_prediction_secs": models["mean_secs"].predict(day, is_post()),
+    }
 
 
 def predicted_profile(panel: DataFrame, models: dict[str, StepModel],
                       span: int | None = 365) -> DataFrame:
     """Day profile with the mean prediction of both models."""
-    day = F.col("date_relative_1")
-    return day_profile(
-        panel,
-        {
-            "mean_prediction": models["early_rate"].predict(day, is_post()),
-            "mean_prediction_secs": models["mean_secs"].predict(day, is_post()),
-        },
-        span,
-    )
+    return predicted_cells(day_cells(panel), models, span)
+
+
+def predicted_cells(cells: DataFrame, models: dict[str, StepModel], span: int | None = 365) -> DataFrame:
+    """Day profile with the mean prediction of both models, from stored cells."""
+    return profile_of_cells(cells, _predictions(models), span)
 
 
-def predicted_day(panel: DataFrame, models: dict[str, StepModel], day: int = 1) -> DataFrame:
-    """Fitted outcomes on one relative day (one row; none if the panel lacks the day)."""
-    own = panel.where(F.col("date_relative_1") == day).select("date_relative_1", "period").distinct()
-    at = F.col("date_relative_1")
+def predicted_day(cells: DataFrame, models: dict[str, StepModel], day: int = 1) -> DataFrame:
+    """Fitted outcomes on one relative day (one row; none if the day is lacking), from the panel or its
+    cells."""
+    own = cells.where(F.col("date_relative_1") == day).select("date_relative_1", "period").distinct()
+    fitted = _predictions(models)
     return own.select(
-        models["early_rate"].predict(at, is_post()).alias("predicted"),
-        models["mean_secs"].predict(at, is_post()).alias("predicted_secs"),
+        fitted["mean_prediction"].alias("predicted"), fitted["mean_prediction_secs"].alias("predicted_secs"),
     ).limit(1)
 
 
@@ -87,8 +105,10 @@ def save_discipline_study(days: DataFrame, folder: str, salt: str) -> None:
                          "One operator on one day"),
         f"{folder}/discipline_data_table",
     )
-    models = fit_step_models(panel)
-    write_table(predicted_profile(panel, models), f"{folder}/day_profile")
+    write_table(day_cells(panel), f"{folder}/day_cells")
+    cells = spark.read.parquet(f"{folder}/day_cells")
+    models = fit_cells(cells)
+    write_table(predicted_cells(cells, models), f"{folder}/day_profile")
     for outcome, better in OUTCOMES:
         save_step_model(spark, models[outcome], f"{folder}/step_{outcome}")
         effects = operator_effects(panel, outcome, better, entity="operator_id_hash")

@@ -731,6 +731,16 @@ ORACLE = {
                    {_near("avg(fit2)", "mean_prediction_secs", 3)}
             FROM gfit WHERE x BETWEEN -20 AND 20 GROUP BY x, period""",
     ),
+    "merged_day_cells": _with(
+        "dpanel",
+        f"""SELECT {_int("x", "date_relative_1")}, period, count(*) AS rows,
+                   count(early_rate) AS early_rate_n, count(mean_secs) AS mean_secs_n,
+                   {_near("avg(early_rate)", "early_rate_mean")},
+                   {_near("avg(mean_secs)", "mean_secs_mean", 3)},
+                   coalesce(round(stddev_samp(early_rate), 4) + 0.0, -1.0) AS early_rate_sd,
+                   coalesce(round(stddev_samp(mean_secs), 4) + 0.0, -1.0) AS mean_secs_sd
+            FROM dpanel GROUP BY x, period""",
+    ),
     "discipline_day_one": _with(
         "gfit",
         f"""SELECT {_near("fit1", "predicted")}, {_near("fit2", "predicted_secs", 3)}

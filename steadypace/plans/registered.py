@@ -54,9 +54,12 @@ from steadypace.operators.effects import (
     pick_entity,
     rank_effects,
 )
+from steadypace.operators.moments import cell_moments, merge_cells, spread_of
 from steadypace.operators.ols import LEVEL, SLOPE, discontinuity, discontinuity_by
 from steadypace.operators.panel import COMPARISON, PERIODS, build_text_panel, masked_panel
 from steadypace.operators.profiles import (
+    DAY_KEYS,
+    DAY_OUTCOMES,
     day_profile,
     event_profile,
     first_per_group,
@@ -91,10 +94,12 @@ from steadypace.plans.charts import day_lines as day_lines_frame
 from steadypace.plans.charts import effect_intervals as effect_intervals_frame
 from steadypace.plans.charts import main_bars, piece_trace
 from steadypace.plans.discipline_study import (
+    fit_cells,
     fit_step_models,
     operator_effects,
+    predicted_cells,
     predicted_day,
-    predicted_profile,
+    stored_cells,
 )
 from steadypace.plans.text_study import piece_effects, pooled_effects, run_text_study
 from steadypace.session import materialise
@@ -537,17 +542,28 @@ def step_model_cubic(spark, folder):
 
 @query
 def discipline_day_profile(spark, folder):
-    panel = _discipline(spark, folder)
-    profile = predicted_profile(panel, fit_step_models(panel), span=20)
+    cells = stored_cells(_discipline(spark, folder))
+    profile = predicted_cells(cells, fit_cells(cells), span=20)
     return profile.select(whole("date_relative_1"), "period", "n", near("mean_early"),
                           near("mean_adherence"), near("mean_prediction"),
                           near("mean_prediction_secs", 3))
 
 
+@query
+def merged_day_cells(spark, folder):
+    """Day cells of each month's load by itself, merged."""
+    month = F.date_trunc("month", "date").alias("month")
+    loads = cell_moments(_discipline(spark, folder).select("*", month), ["month", *DAY_KEYS], DAY_OUTCOMES)
+    cells = merge_cells(loads.drop("month"), DAY_KEYS, DAY_OUTCOMES)
+    spread = [F.coalesce(F.round(spread_of(y), 4) + 0.0, F.lit(-1.0)).alias(f"{y}_sd") for y in DAY_OUTCOMES]
+    return cells.select(whole("date_relative_1"), "period", "rows", "early_rate_n", "mean_secs_n",
+                        near("early_rate_mean"), near("mean_secs_mean", 3), *spread)
+
+
 @query
 def day_lines(spark, folder):
-    panel = _discipline(spark, folder)
-    lines = day_lines_frame(predicted_profile(panel, fit_step_models(panel), span=20))
+    cells = stored_cells(_discipline(spark, folder))
+    lines = day_lines_frame(predicted_cells(cells, fit_cells(cells), span=20))
     return lines.select(whole("date_relative_1"), "period", "n", near("mean_early"),
                         near("mean_adherence"), near("mean_prediction"),
                         near("mean_prediction_secs", 3))
@@ -555,8 +571,8 @@ def day_lines(spark, folder):
 
 @query
 def discipline_day_one(spark, folder):
-    panel = _discipline(spark, folder)
-    row = predicted_day(panel, fit_step_models(panel))
+    cells = stored_cells(_discipline(spark, folder))
+    row = predicted_day(cells, fit_cells(cells))
     return row.select(near("predicted"), near("predicted_secs", 3))
 
 

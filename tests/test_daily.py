@@ -18,12 +18,15 @@ from steadypace.operators.ols import step_model
 from steadypace.operators.profiles import day_profile, relapse_day, weekly_disciplines
 from steadypace.operators.quality import discipline_summary
 from steadypace.plans.discipline_study import (
+    fit_cells,
     fit_step_models,
     is_post,
     operator_effects,
     predicted_day,
+    predicted_cells,
     predicted_profile,
     published_discipline_panel,
+    stored_cells,
 )
 
 START = date(2024, 1, 1)
@@ -173,6 +176,22 @@ def test_profile_prediction_is_the_mean_of_row_predictions(spark, panel):
     )
 
 
+def test_one_stored_pass_serves_models_profile_and_days(spark, panel):
+    cells = stored_cells(panel)
+    models = fit_cells(cells)
+    for y in ("early_rate", "mean_secs"):
+        alone = step_model(panel, y, "date_relative_1", is_post())
+        assert models[y].coefficients == pytest.approx(alone.coefficients, rel=1e-6)
+        assert models[y].std_errors == pytest.approx(alone.std_errors, rel=1e-6)
+    profile = predicted_cells(cells, models, span=365)
+    assert sorted(map(str, profile.collect())) == sorted(
+        map(str, predicted_profile(panel, models, span=365).collect()))
+    # Neither the panel's sources nor its shuffles are in what is read.
+    for frame in (profile, predicted_day(cells, models)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "LogicalRDD" in plan
+
+
 def test_relapse(spark):
     profile = spark.createDataFrame(
         [(5, .5), (11, .1), (12, .15), (13, .3)], "date_relative_1 int, mean_early double"
