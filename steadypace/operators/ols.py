@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from steadypace.operators.aliased import SLOPE_FIRST, against_baseline, partly_identified, residual_fit
 from steadypace.operators.moments import COUNT, MEAN, ROWS, SQUARES, cell_moments
 from steadypace.operators.skew import broadcast_if_small, null_safe_join
 from steadypace.session import materialise
@@ -52,18 +53,24 @@ def _line(prefix: str) -> dict[str, Column]:
     }
 
 
-def period_lines(
+def side_moments(
     df: DataFrame, y: str, x: str, post: Column, entity: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per entity (one in all without): line before and after, ``identified``."""
+    """One row per entity (one in all without): count, means and centred sums on both sides."""
     y_col, x_col = F.col(y).cast("double"), F.col(x).cast("double")
     moments = [
         expression.alias(f"{prefix}_{name}")
         for prefix, keep in (("pre", False), ("post", True))
         for name, expression in _side(post, keep, y_col, x_col).items()
     ]
-    cells = df.groupBy(*entity).agg(*moments) if entity else df.agg(*moments)
-    lines = cells.withColumns({**_line("pre"), **_line("post")})
+    return df.groupBy(*entity).agg(*moments) if entity else df.agg(*moments)
+
+
+def period_lines(
+    df: DataFrame, y: str, x: str, post: Column, entity: Sequence[str] = ()
+) -> DataFrame:
+    """One row per entity (one in all without): line before and after, ``identified``."""
+    lines = side_moments(df, y, x, post, entity).withColumns({**_line("pre"), **_line("post")})
     identified = F.col("pre_slope").isNotNull() & F.col("post_slope").isNotNull()
     return lines.withColumn("identified", identified).drop(
         *(f"{p}_{k}" for p in ("pre", "post") for k in ("x", "y", "sxx", "sxy", "syy"))
@@ -123,16 +130,26 @@ def discontinuity_by(
     entity: Sequence[str],
     contrast: str = "absolute",
     by: Sequence[str] = (),
+    aliased: str = "null",
+    order: str = SLOPE_FIRST,
 ) -> DataFrame:
     """Fully interacted model: change of level and slope of every entity, with pooled variance.
 
     ``absolute`` gives each entity's own change. ``baseline`` gives it relative to the first entity
-    in key order, without a row for that one. An entity without two distinct x on both sides has
-    null estimates, ``identified`` false, and no share in the variance. ``by`` fits one model per
-    value of its columns (a handful, such as outcomes).
+    in key order that has two distinct x on both sides, without a level for that one. ``by`` fits one model
+    per value of its columns (a handful, such as outcomes).
+
+    An entity without two distinct x on both sides has, with ``aliased="null"``, null estimates, ``identified``
+    false, and no share in the variance. ``aliased="drop"`` leaves out only the terms that its rows cannot tell from
+    the others, column by column (``identified`` is per term then), and counts all rows: see ``operators.aliased``.
+    ``order`` says whether a single position on each side is read as a change of level or as a slope.
     """
     if contrast not in ("absolute", "baseline"):
         raise ValueError(f"contrast must be absolute or baseline, not {contrast!r}")
+    if aliased not in ("null", "drop"):
+        raise ValueError(f"aliased must be null or drop, not {aliased!r}")
+    if aliased == "drop":
+        return _with_aliased_terms(df, y, x, post, entity, contrast, by, order)
     # One row per entity, read several times below: kept, so that the data is read once.
     lines = materialise(period_lines(df, y, x, post, [*by, *entity]))
     for part in (LEVEL, SLOPE):
@@ -172,6 +189,34 @@ def discontinuity_by(
     return out.withColumn("t_value", F.col("estimate") / F.nullif("std_error", F.lit(0.0)))
 
 
+def _with_aliased_terms(df, y, x, post, entity, contrast, by, order) -> DataFrame:
+    """``discontinuity_by`` with the terms that entities identify only in part."""
+    lines = materialise(partly_identified(side_moments(df, y, x, post, [*by, *entity]), order))
+    lines = _with_model(lines, residual_fit(lines, by), by)
+    first = F.lit(False)
+    if contrast == "baseline":
+        full = lines.where("kept_slope")
+        moments = [f"{s}_{k}" for s in ("pre", "post") for k in ("n", "x", "y", "sxx", "sxy")]
+        found = F.min_by(F.struct(*entity, *moments), F.struct(*entity)).alias("_base")
+        lines = _with_model(lines, full.groupBy(*by).agg(found) if by else full.agg(found), by)
+        first = F.struct(*entity).eqNullSafe(F.struct(*[F.col(f"_base.{k}") for k in entity]))
+        lines = against_baseline(lines, "_base", first)
+    rows = F.array(*[
+        F.struct(
+            F.lit(part).alias("term"),
+            F.when(F.col(f"kept_{part}"), F.col(f"d_{part}")).alias("estimate"),
+            F.when(F.col(f"kept_{part}"), F.sqrt(F.col("s2") * F.col(f"v_{part}"))).alias("std_error"),
+            (F.col(f"kept_{part}") & F.col(f"d_{part}").isNotNull()).alias("identified"),
+        )
+        for part in (LEVEL, SLOPE)
+    ])
+    out = lines.withColumn("_first", first).select(
+        *by, *entity, F.inline(rows), F.coalesce("pre_n", F.lit(0)).alias("n_pre"),
+        F.coalesce("post_n", F.lit(0)).alias("n_post"), "dof", "_first",
+    ).where(~(F.col("_first") & (F.col("term") == LEVEL))).drop("_first")
+    return out.withColumn("t_value", F.col("estimate") / F.nullif("std_error", F.lit(0.0)))
+
+
 def _with_model(lines: DataFrame, model: DataFrame, by: Sequence[str]) -> DataFrame:
     """Columns of the model (one row, or one per ``by``) on every entity."""
     if by:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from steadypace import schemas
 from steadypace.functions.scalars import mask_id
+from steadypace.operators.aliased import SLOPE_FIRST
 from steadypace.operators.daily import POST_DISCIPLINE, build_discipline_panel
 from steadypace.operators.effects import effect_table, rank_effects
 from steadypace.operators.ols import LEVEL, StepModel, discontinuity_by, fit_step_cells
@@ -77,9 +78,12 @@ def predicted_day(cells: DataFrame, models: dict[str, StepModel], day: int = 1)
 
 
 def operator_effects(panel: DataFrame, outcome: str, better: str, terms=(LEVEL,),
-                     contrast: str = "absolute", entity: str = "operator_id") -> DataFrame:
-    """Effect of the first discipline per operator on daily rows."""
-    fitted = discontinuity_by(panel, outcome, "date_relative_1", is_post(), [entity], contrast)
+                     contrast: str = "absolute", entity: str = "operator_id",
+                     aliased: str = "null") -> DataFrame:
+    """Effect of the first discipline per operator on daily rows. ``aliased="drop"`` also reports what operators
+    with few days identify, the slope before the change where rows cannot tell them apart."""
+    fitted = discontinuity_by(panel, outcome, "date_relative_1", is_post(), [entity], contrast,
+                              aliased=aliased, order=SLOPE_FIRST)
     return effect_table(fitted, better, terms)
 
 

@@ -241,6 +241,42 @@ VIEWS |= {
         SELECT l.l_suppkey, l.d_level - b.d_level AS estimate,
                sqrt(s2 * (l.v_level + b.v_level)) AS se, dof
         FROM lines l, base b, fit WHERE l.l_suppkey <> b.l_suppkey""",
+    # Lines of orders, most of them identified in part: moments of both sides, what is kept, estimates.
+    "osides": """
+        SELECT l_orderkey,
+               count(*) FILTER (NOT post) AS n0, count(*) FILTER (post) AS n1,
+               avg(x) FILTER (NOT post) AS x0, avg(x) FILTER (post) AS x1,
+               avg(y) FILTER (NOT post) AS y0, avg(y) FILTER (post) AS y1,
+               coalesce(regr_sxx(y, x) FILTER (NOT post), 0) AS sxx0, coalesce(regr_sxx(y, x) FILTER (post), 0) AS sxx1,
+               coalesce(regr_syy(y, x) FILTER (NOT post), 0) AS syy0, coalesce(regr_syy(y, x) FILTER (post), 0) AS syy1,
+               coalesce(regr_sxy(y, x) FILTER (NOT post), 0) AS sxy0, coalesce(regr_sxy(y, x) FILTER (post), 0) AS sxy1
+        FROM (SELECT l_orderkey, CAST(l_quantity - 25 AS DOUBLE) AS x, l_quantity > 25 AS post,
+                     CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem) GROUP BY l_orderkey""",
+    "oparts": """
+        SELECT *, CASE WHEN n0 = 0 THEN 0 WHEN sxx0 > 0 THEN 2 ELSE 1 END AS a,
+               CASE WHEN n1 = 0 THEN 0 WHEN sxx1 > 0 THEN 2 ELSE 1 END AS b,
+               sxy0 / nullif(sxx0, 0) AS b0, sxy1 / nullif(sxx1, 0) AS b1 FROM osides""",
+    "olines": """
+        SELECT *,
+               CASE WHEN a = 2 THEN greatest(0, syy0 - sxy0 * b0) ELSE syy0 END
+               + CASE WHEN b = 2 THEN greatest(0, syy1 - sxy1 * b1) ELSE syy1 END AS rss,
+               CASE WHEN a = 2 AND b = 2 THEN (y1 - b1 * x1) - (y0 - b0 * x0)
+                    WHEN a = 2 AND b = 1 THEN y1 - (y0 + b0 * (x1 - x0))
+                    WHEN a = 1 AND b = 2 THEN y1 - y0 - b1 * (x1 - x0)
+                    WHEN a = 1 AND b = 1 THEN y1 - y0 END AS d,
+               CASE WHEN a = 2 AND b = 2 THEN 1 / n0 + x0 * x0 / sxx0 + 1 / n1 + x1 * x1 / sxx1
+                    WHEN a = 2 AND b = 1 THEN 1 / n1 + 1 / n0 + (x1 - x0) * (x1 - x0) / sxx0
+                    WHEN a = 1 AND b = 2 THEN 1 / n0 + 1 / n1 + (x1 - x0) * (x1 - x0) / sxx1
+                    WHEN a = 1 AND b = 1 THEN 1 / n0 + 1 / n1 END AS v,
+               CASE WHEN a = 1 AND b = 1 THEN x1 - x0 ELSE 0 END AS u,
+               CASE WHEN a = 2 AND b = 2 THEN 0 WHEN a = 1 AND b = 2 THEN x0 ELSE x1 END AS w
+        FROM oparts""",
+    "ofit": """
+        SELECT sum(n0 + n1 - a - b) AS dof, sum(rss) / sum(n0 + n1 - a - b) AS s2 FROM olines""",
+    "obase": """
+        SELECT n0 AS bn0, n1 AS bn1, x0 AS bx0, x1 AS bx1, y0 AS by0, y1 AS by1, sxx0 AS bs0, sxx1 AS bs1,
+               b0 AS bb0, b1 AS bb1, l_orderkey AS base
+        FROM olines WHERE a = 2 AND b = 2 ORDER BY l_orderkey LIMIT 1""",
     "pooled_cells": """
         SELECT l_quantity - 25 > 0 AS post, count(*) AS n,
                regr_slope(l_extendedprice, l_quantity - 25) AS b,
@@ -776,6 +812,33 @@ ORACLE = {
                     FROM lines, fit
                     UNION ALL SELECT *, 'slope', d_slope, sqrt(s2 * v_slope) FROM lines, fit)""",
     ),
+    "discontinuity_partly_identified": _with(
+        "ofit",
+        f"""SELECT l_orderkey, term, {_near("coalesce(estimate, -1)", "estimate", 3)},
+                   {_near("coalesce(se, -1)", "std_error", 3)}, n0 AS n_pre, n1 AS n_post,
+                   CAST(estimate IS NOT NULL AS BIGINT) AS identified, {_int("dof", "dof")}
+            FROM (SELECT *, 'level' AS term, d AS estimate, sqrt(s2 * v) AS se FROM olines, ofit
+                  UNION ALL
+                  SELECT *, 'slope', CASE WHEN a = 2 AND b = 2 THEN b1 - b0 END,
+                         CASE WHEN a = 2 AND b = 2 THEN sqrt(s2 * (1 / sxx0 + 1 / sxx1)) END FROM olines, ofit)""",
+    ),
+    "discontinuity_partly_identified_baseline": _with(
+        ("ofit", "obase"),
+        f"""SELECT l_orderkey, term, {_near("coalesce(estimate, -1)", "estimate", 3)},
+                   {_near("coalesce(se, -1)", "std_error", 3)}
+            FROM (SELECT l_orderkey, 'level' AS term,
+                         d - ((by1 + bb1 * (w - bx1)) - (by0 + bb0 * (w - u - bx0))) AS estimate,
+                         sqrt(s2 * (v + 1 / bn1 + (w - bx1) * (w - bx1) / bs1
+                                    + 1 / bn0 + (w - u - bx0) * (w - u - bx0) / bs0)) AS se
+                  FROM olines, ofit, obase WHERE l_orderkey <> base
+                  UNION ALL
+                  SELECT l_orderkey, 'slope',
+                         CASE WHEN a = 2 AND b = 2 AND l_orderkey = base THEN b1 - b0
+                              WHEN a = 2 AND b = 2 THEN b1 - b0 - (bb1 - bb0) END,
+                         CASE WHEN a = 2 AND b = 2 AND l_orderkey = base THEN sqrt(s2 * (1 / sxx0 + 1 / sxx1))
+                              WHEN a = 2 AND b = 2 THEN sqrt(s2 * (1 / sxx0 + 1 / sxx1 + 1 / bs0 + 1 / bs1)) END
+                  FROM olines, ofit, obase)""",
+    ),
     "effect_ranking": _with("effects", _effects("effects")),
     "effect_intervals": _with(
         "effects",

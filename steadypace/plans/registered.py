@@ -22,6 +22,7 @@ from steadypace.functions.scalars import (
     split_timestamp,
     text_contains,
 )
+from steadypace.operators.aliased import LEVEL_FIRST
 from steadypace.operators.attribution import (
     attribute_events,
     classify_unmatched,
@@ -620,6 +621,27 @@ def discontinuity_by_entity(spark, folder):
                          near("t_value"), "n_pre", "n_post", whole("identified"), whole("dof"))
 
 
+def _orders(spark, folder, contrast):
+    """Orders have one to seven lines, so most are identified in part only."""
+    fitted = discontinuity_by(_lines(spark, folder), "l_extendedprice", "position", after(), ["l_orderkey"],
+                              contrast, aliased="drop", order=LEVEL_FIRST)
+    known = {c: F.coalesce(c, F.lit(-1.0)) for c in ("estimate", "std_error")}
+    return fitted.withColumns(known)
+
+
+@query
+def discontinuity_partly_identified(spark, folder):
+    return _orders(spark, folder, "absolute").select(
+        "l_orderkey", "term", near("estimate", 3), near("std_error", 3), "n_pre", "n_post",
+        whole("identified"), whole("dof"))
+
+
+@query
+def discontinuity_partly_identified_baseline(spark, folder):
+    return _orders(spark, folder, "baseline").select(
+        "l_orderkey", "term", near("estimate", 3), near("std_error", 3))
+
+
 def _ranked(spark, folder, contrast="absolute"):
     fitted = discontinuity_by(_lines(spark, folder), "l_extendedprice", "position", after(),
                               ["l_suppkey"], contrast)

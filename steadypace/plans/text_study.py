@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from steadypace import schemas
 from steadypace.functions.scalars import mask_id
+from steadypace.operators.aliased import LEVEL_FIRST
 from steadypace.operators.attribution import classify_unmatched, event_id, unmatched_events
 from steadypace.operators.cohort import Criteria
 from steadypace.operators.effects import effect_table, rank_effects
@@ -98,11 +99,14 @@ def piece_effects(
     outcomes: Mapping[str, str] = OUTCOMES,
     contrast: str = "absolute",
     piece: Sequence[str] = PIECE,
+    aliased: str = "null",
 ) -> DataFrame:
-    """Effect per treated piece over its time points, per outcome."""
+    """Effect per treated piece over its time points, per outcome. ``aliased="drop"`` also reports what pieces with
+    few time points identify, the change before the slope where rows cannot tell them apart."""
     points = outcomes_long(time_points_only(subset(panel, TREATMENT)), list(outcomes))
     fitted = discontinuity_by(points, "y", "relative_stop",
-                              F.col("treatment_period") == POST_TEXT, piece, contrast, ["outcome"])
+                              F.col("treatment_period") == POST_TEXT, piece, contrast, ["outcome"],
+                              aliased, LEVEL_FIRST)
     return effect_table(fitted, outcomes)
 
 
