@@ -632,14 +632,14 @@ def _orders(spark, folder, contrast):
 @query
 def discontinuity_partly_identified(spark, folder):
     return _orders(spark, folder, "absolute").select(
-        "l_orderkey", "term", near("estimate", 3), near("std_error", 3), "n_pre", "n_post",
+        "l_orderkey", "term", near("estimate", 6), near("std_error", 6), "n_pre", "n_post",
         whole("identified"), whole("dof"))
 
 
 @query
 def discontinuity_partly_identified_baseline(spark, folder):
     return _orders(spark, folder, "baseline").select(
-        "l_orderkey", "term", near("estimate", 3), near("std_error", 3))
+        "l_orderkey", "term", near("estimate", 6), near("std_error", 6))
 
 
 def _ranked(spark, folder, contrast="absolute"):
