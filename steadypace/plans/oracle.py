@@ -814,8 +814,8 @@ ORACLE = {
     ),
     "discontinuity_partly_identified": _with(
         "ofit",
-        f"""SELECT l_orderkey, term, {_near("coalesce(estimate, -1)", "estimate", 6)},
-                   {_near("coalesce(se, -1)", "std_error", 6)}, n0 AS n_pre, n1 AS n_post,
+        f"""SELECT l_orderkey, term, {_near("coalesce(estimate, -1) + 0.00123", "estimate", 2)},
+                   {_near("coalesce(se, -1)", "std_error", 1)}, n0 AS n_pre, n1 AS n_post,
                    CAST(estimate IS NOT NULL AS BIGINT) AS identified, {_int("dof", "dof")}
             FROM (SELECT *, 'level' AS term, d AS estimate, sqrt(s2 * v) AS se FROM olines, ofit
                   UNION ALL
@@ -824,8 +824,8 @@ ORACLE = {
     ),
     "discontinuity_partly_identified_baseline": _with(
         ("ofit", "obase"),
-        f"""SELECT l_orderkey, term, {_near("coalesce(estimate, -1)", "estimate", 6)},
-                   {_near("coalesce(se, -1)", "std_error", 6)}
+        f"""SELECT l_orderkey, term, {_near("coalesce(estimate, -1) + 0.00123", "estimate", 2)},
+                   {_near("coalesce(se, -1)", "std_error", 1)}
             FROM (SELECT l_orderkey, 'level' AS term,
                          d - ((by1 + bb1 * (w - bx1)) - (by0 + bb0 * (w - u - bx0))) AS estimate,
                          sqrt(s2 * (v + 1 / bn1 + (w - bx1) * (w - bx1) / bs1
