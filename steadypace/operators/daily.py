@@ -9,6 +9,7 @@ from steadypace.functions.scalars import days_relative, null_if_unknown
 from steadypace.functions.strict import early_rate
 from steadypace.operators.cohort import semi_join
 from steadypace.operators.skew import broadcast_if_small, is_small
+from steadypace.session import materialise
 
 # Category levels, in order (fixed values).
 PRE_DISCIPLINE, POST_DISCIPLINE = "Pre-discipline", "Post-discipline"
@@ -53,15 +54,24 @@ def nth_event(df: DataFrame, entity: str, date: str, into: str = "n") -> DataFra
     return dated.withColumn(into, F.row_number().over(w))
 
 
+def largest_ordinal(numbered: DataFrame, into: str = "n") -> int:
+    """The greatest number of ``nth_event``: how many date columns hold all dates."""
+    return numbered.agg(F.max(into)).first()[0] or 0
+
+
 def dates_wide(
-    df: DataFrame, entity: str, date: str, n: int = 4, prefix: str = "discipline_date_"
+    df: DataFrame, entity: str, date: str, n: int | None = None, prefix: str = "discipline_date_"
 ) -> DataFrame:
-    """First ``n`` distinct dates of each entity as columns, null where there are fewer."""
+    """Distinct dates of each entity as columns, null where there are fewer. As many columns as the
+    entity with the most dates has; ``n`` cuts them off there, so that later dates are left out."""
     numbered = nth_event(df, entity, date)
+    if n is None:
+        numbered = materialise(numbered)  # a row per entity and date: small against the daily rows
+        n = largest_ordinal(numbered)
     picks = [
         F.max(F.when(F.col("n") == i, F.col(date))).alias(f"{prefix}{i}") for i in range(1, n + 1)
     ]
-    return numbered.groupBy(entity).agg(*picks)
+    return numbered.groupBy(entity).agg(*picks) if picks else numbered.select(entity).distinct()
 
 
 def entity_totals(df: DataFrame, entity: str, flag: str, into: str) -> DataFrame:
@@ -70,28 +80,32 @@ def entity_totals(df: DataFrame, entity: str, flag: str, into: str) -> DataFrame
     return totals.where(F.col(into) > 0)
 
 
-def attach_entity_dates(days: DataFrame, n: int = 4) -> DataFrame:
+def most_dates(days: DataFrame) -> int:
+    """Disciplined days of the operator with the most of them."""
+    counts = days.where("discipline").groupBy("operator_id").agg(F.count_distinct("date").alias("_n"))
+    return counts.agg(F.max("_n")).first()[0] or 0
+
+
+def attach_entity_dates(days: DataFrame, n: int | None = None) -> DataFrame:
     """Wide discipline dates and totals on the daily rows; operators without a discipline drop out.
 
-    The same as joining ``dates_wide`` and ``entity_totals`` back, as windows: daily rows per
+    The same as joining ``dates_wide`` and ``entity_totals`` back, as one window: daily rows per
     operator are bounded by the length of the study, and the log is aggregated once, not three
-    times.
+    times. As many date columns as the operator with the most dates has, or the first ``n``; for the former the daily
+    rows are kept on reliable storage, since they are read twice.
     """
+    if n is None:
+        days = materialise(days)
+        n = most_dates(days)
     whole = Window.partitionBy("operator_id")
-    so_far = whole.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = days.withColumn("_n", F.sum(F.col("discipline").cast("long")).over(so_far))
-    nth = {
-        f"discipline_date_{i}": F.max(
-            F.when(F.col("discipline") & (F.col("_n") == i), F.col("date"))
-        ).over(whole)
-        for i in range(1, n + 1)
-    }
-    total = F.max("_n").over(whole)
-    return (
-        numbered.withColumns({**nth, "total_disciplines": total})
-        .where(F.col("total_disciplines") > 0)
-        .drop("_n")
-    )
+    own = F.when(F.col("discipline"), F.col("date"))
+    placed = days.withColumns({
+        "_dates": F.array_sort(F.collect_set(own).over(whole)),
+        "total_disciplines": F.sum(F.col("discipline").cast("long")).over(whole),
+    })
+    nth = {f"discipline_date_{i}": F.get("_dates", F.lit(i - 1)) for i in range(1, n + 1)}
+    kept = [c for c in days.columns if c != "total_disciplines"]
+    return placed.where(F.col("total_disciplines") > 0).withColumns(nth).select(*kept, *nth, "total_disciplines")
 
 
 def discipline_period(relative: Column) -> Column:
@@ -99,13 +113,31 @@ def discipline_period(relative: Column) -> Column:
     return null_if_unknown(relative < 0, PRE_DISCIPLINE, POST_DISCIPLINE)
 
 
-def build_discipline_panel(days: DataFrame, n: int = 4) -> DataFrame:
-    """Daily panel from ``discipline_days``: nth dates, totals, relative days, period."""
+def date_columns(panel: DataFrame) -> int:
+    """How many discipline dates a panel has columns for."""
+    return sum(c.startswith("discipline_date_") for c in panel.columns)
+
+
+def build_discipline_panel(days: DataFrame, n: int | None = None) -> DataFrame:
+    """Daily panel from ``discipline_days``: all discipline dates, totals, days relative to each, period. ``n``
+    gives a view of the first ``n`` dates; ``total_disciplines`` says how many it leaves out."""
     panel = attach_entity_dates(days, n)
+    first = F.col("date_relative_1") if date_columns(panel) else F.lit(None).cast("int")
     relative = {
         f"date_relative_{i}": days_relative(F.col("date"), F.col(f"discipline_date_{i}"))
-        for i in range(1, n + 1)
+        for i in range(1, date_columns(panel) + 1)
     }
     return panel.withColumns(relative).withColumn(
-        "period", discipline_period(F.col("date_relative_1"))
+        "period", discipline_period(first)
     ).withColumn("discipline_ind", F.col("discipline"))
+
+
+def dates_long(panel: DataFrame) -> DataFrame:
+    """Each daily row once per discipline date of its operator: n, discipline_date, date_relative."""
+    dates = [
+        F.struct(F.lit(i).alias("n"), F.col(f"discipline_date_{i}").alias("discipline_date"),
+                 F.col(f"date_relative_{i}").alias("date_relative"))
+        for i in range(1, date_columns(panel) + 1)
+    ]
+    return panel.select("date", "operator_id", F.inline(F.array(*dates))).where(
+        F.col("discipline_date").isNotNull())

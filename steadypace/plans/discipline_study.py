@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadypace import schemas
 from steadypace.functions.scalars import mask_id
 from steadypace.operators.aliased import SLOPE_FIRST
-from steadypace.operators.daily import POST_DISCIPLINE, build_discipline_panel
+from steadypace.operators.daily import POST_DISCIPLINE, build_discipline_panel, date_columns
 from steadypace.operators.effects import effect_table, rank_effects
 from steadypace.operators.ols import LEVEL, StepModel, discontinuity_by, fit_step_cells
 from steadypace.operators.profiles import day_cells, profile_of_cells
-from steadypace.operators.quality import check_relationship, discipline_summary
+from steadypace.operators.quality import discipline_summary
 from steadypace.session import materialise
+from steadypace.sources.publish import never, publish
 from steadypace.sources.tables import (
     data_dictionary,
     save_coefficients,
@@ -89,20 +90,33 @@ def operator_effects(panel: DataFrame, outcome: str, better: str, terms=(LEVEL,)
 
 def published_discipline_panel(panel: DataFrame, salt: str) -> DataFrame:
     masked = mask_id(panel, "operator_id", salt)
-    return masked.select(*schemas.DISCIPLINE_DATA)
+    return masked.select(*schemas.discipline_data(date_columns(panel)))
+
+
+REPEATED = "_repeated"
+
+
+def once_per_day(panel: DataFrame) -> DataFrame:
+    """Marks rows of an operator that repeat the day of the row before, along the panel's own window, which
+    costs no exchange."""
+    along = Window.partitionBy("operator_id").orderBy("date")
+    return panel.withColumn(REPEATED, F.lag("date").over(along).eqNullSafe(F.col("date")))
 
 
 def save_discipline_study(days: DataFrame, folder: str, salt: str) -> None:
     """Published tables, dictionary and models from ``read_discipline_daily`` rows. Raises
-    ``ContractError`` if an operator has several rows on one day."""
+    ``ContractError`` if an operator has several rows on one day, before anything is published."""
     spark = days.sparkSession
-    write_table(published_discipline_panel(build_discipline_panel(days), salt),
-                f"{folder}/discipline_data")
+    built = build_discipline_panel(days)
+    described = schemas.discipline_data(date_columns(built))
+    publish(
+        mask_id(once_per_day(built), "operator_id", salt), f"{folder}/discipline_data",
+        [never("one row per operator and date", F.col(REPEATED))], columns=list(described),
+    )
     panel = spark.read.parquet(f"{folder}/discipline_data")
-    check_relationship(panel, panel, ["operator_id_hash", "date"], "one-to-one")
     write_table(discipline_summary(panel, "operator_id_hash"),
                 f"{folder}/discipline_summary_stats")
-    write_csv(data_dictionary(panel, "discipline_data", schemas.DISCIPLINE_DATA),
+    write_csv(data_dictionary(panel, "discipline_data", described),
               f"{folder}/discipline_data_fields")
     write_csv(
         table_dictionary(spark, "discipline_data", "Daily averages of disciplined operators",

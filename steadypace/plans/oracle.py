@@ -740,6 +740,17 @@ ORACLE = {
         "nth",
         _select("operator_id", _txt("incident_date", "incident_date"), _int("n", "n")) + " FROM nth",
     ),
+    "all_dates_wide": _with(
+        "nth",
+        """SELECT operator_id, 'discipline_date_' || n AS name, CAST(incident_date AS VARCHAR) AS date FROM nth""",
+    ),
+    "discipline_panel_all_dates": _with(
+        ("days", "nth"),
+        """SELECT CAST(d.date AS VARCHAR) AS date, d.operator_id, CAST(n.n AS BIGINT) AS n,
+                  CAST(n.incident_date AS VARCHAR) AS discipline_date,
+                  CAST(datediff('day', n.incident_date, d.date) AS BIGINT) AS date_relative
+           FROM days d JOIN nth n ON d.operator_id = n.operator_id""",
+    ),
     "discipline_totals": _with("wide", "SELECT operator_id, total_disciplines FROM wide"),
     "operators_per_total": _with(
         "wide", "SELECT total_disciplines, count(*) AS value FROM wide GROUP BY ALL"

@@ -40,6 +40,7 @@ from steadypace.operators.cohort import (
 from steadypace.operators.daily import (
     build_discipline_panel,
     daily_rates,
+    dates_long,
     dates_wide,
     nth_event,
     discipline_days,
@@ -157,7 +158,8 @@ def _days(spark, folder):
 
 
 def _discipline(spark, folder):
-    return build_discipline_panel(_days(spark, folder))
+    """A view of the first four dates."""
+    return build_discipline_panel(_days(spark, folder), 4)
 
 
 # Sessions and cohort
@@ -505,7 +507,7 @@ def discipline_days_from_source(spark, folder):
 
 @query
 def nth_dates_wide(spark, folder):
-    wide = dates_wide(_days(spark, folder), "operator_id", "incident_date")
+    wide = dates_wide(_days(spark, folder), "operator_id", "incident_date", 4)
     return wide.select("operator_id", *[text(f"discipline_date_{i}") for i in range(1, 5)])
 
 
@@ -516,6 +518,21 @@ def nth_dates_long(spark, folder):
     return dates.select("operator_id", text("incident_date"), whole("n"))
 
 
+@query
+def all_dates_wide(spark, folder):
+    """As many date columns as the data need, read off column by column."""
+    wide = dates_wide(_days(spark, folder), "operator_id", "incident_date")
+    dates = wide.unpivot(["operator_id"], [c for c in wide.columns if c != "operator_id"], "name", "date")
+    return dates.where("date IS NOT NULL").select("operator_id", "name", text("date"))
+
+
+@query
+def discipline_panel_all_dates(spark, folder):
+    """The panel with all dates of every operator, a row per day and date."""
+    return dates_long(build_discipline_panel(_days(spark, folder))).select(
+        text("date"), "operator_id", whole("n"), text("discipline_date"), whole("date_relative"))
+
+
 @query
 def discipline_totals(spark, folder):
     return entity_totals(_days(spark, folder), "operator_id", "discipline", "total_disciplines")

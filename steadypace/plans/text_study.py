@@ -25,15 +25,14 @@ from steadypace.operators.panel import (
 )
 from steadypace.operators.profiles import subset, time_points_only
 from steadypace.operators.quality import (
-    check_absent,
-    check_equal_counts,
+    ContractError,
     check_relationship,
-    check_unique,
     study_summary,
 )
 from steadypace.operators.sessions import PIECE, duplicate_rows, sessionize
 from steadypace.operators.skew import DEFAULT_POLICY, SkewPolicy
 from steadypace.session import materialise
+from steadypace.sources.publish import absent, known, publish
 from steadypace.sources.tables import (
     data_dictionary,
     save_coefficients,
@@ -115,28 +114,43 @@ MASKED = ("work_piece_id",)
 
 def read_published(spark: SparkSession, folder: str) -> DataFrame:
     """The stored panel under this library's names."""
-    stored = spark.read.parquet(f"{folder}/text_data")
+    return _own_names(spark.read.parquet(f"{folder}/text_data"))
+
+
+def _own_names(stored: DataFrame) -> DataFrame:
     return stored.withColumnsRenamed({name: c for c, name in PUBLISHED.items()})
 
 
 def check_stored_panel(panel: DataFrame, hits: DataFrame, salt: str) -> None:
-    """Raise ``ContractError`` unless every piece id belongs to one trip and operator, every row has a
-    group, and the panel shows a message for as many operators as were matched."""
-    check_unique(panel, "work_piece_id", ("trip_id", "operator_id_hash"))
-    check_absent(panel, "treatment_group", UNKNOWN)
-    check_equal_counts(panel.where(F.col("message_id").isNotNull()),
-                       mask_id(hits, "operator_id", salt), "operator_id_hash")
+    """Raise ``ContractError`` unless every piece id belongs to one trip and operator, and the panel shows a
+    message for as many operators as were matched. One grouped pass over four columns of the panel."""
+    owner = F.struct("trip_id", "operator_id_hash")
+    shown = F.when(F.col("message_id").isNotNull(), F.col("operator_id_hash"))
+    pieces = panel.groupBy("work_piece_id").agg(
+        F.min(owner).alias("least"), F.max(owner).alias("most"), F.max(shown).alias("shown"),
+    )
+    row = pieces.agg(F.count_if(~F.col("least").eqNullSafe(F.col("most"))), F.count_distinct("shown")).first()
+    if row[0]:
+        raise ContractError(f"work_piece_id: {row[0]} ids in several trips or operators")
+    matched = mask_id(hits, "operator_id", salt).agg(F.count_distinct("operator_id_hash")).first()[0]
+    if row[1] != matched:
+        raise ContractError(f"operator_id_hash: {row[1]} against {matched}")
 
 
 def save_text_study(study: TextStudy, folder: str, salt: str) -> None:
     """Published tables, dictionaries and coefficients under one folder. Raises ``ContractError``
-    where messages, matched stops and the panel do not fit together."""
+    where messages, matched stops and the panel do not fit together, before anything is published: what concerns
+    single rows is counted while they are written."""
     spark = study.panel.sparkSession
     check_relationship(study.messages, study.hits, ["event_id"], "one-to-many")
-    write_table(published_panel(study.panel, salt), f"{folder}/text_data", ["ScheduledDate"])
+    publish(
+        published_panel(study.panel, salt), f"{folder}/text_data",
+        [absent(PUBLISHED["treatment_group"], UNKNOWN), known(PUBLISHED["treatment_group"])],
+        further=lambda staged: check_stored_panel(_own_names(staged), study.hits, salt),
+        partition_by=["ScheduledDate"],
+    )
     # Everything below reads the stored panel.
     panel = read_published(spark, folder)
-    check_stored_panel(panel, study.hits, salt)
     write_table(study.hits, f"{folder}/message_stops")
     write_table(study.messages, f"{folder}/messages")
     write_table(study.duplicates, f"{folder}/dup_messages")

@@ -37,21 +37,28 @@ TEXT_DATA = {
     "TreatmentPeriod": "Pre-text or Post-text",
     "OperatorIdHash": "Salted hash of the operator id",
 }
-DISCIPLINE_DATA = {
-    "date": "Day of the daily averages",
-    "early_rate": "Share of time-point departures that were early that day",
-    "mean_secs": "Mean adherence in seconds at time points that day",
-    "discipline": "Whether the operator was disciplined that day",
-    "discipline_date_1": "Date of the first discipline",
-    "discipline_date_2": "Date of the second discipline; empty if none",
-    "discipline_date_3": "Date of the third discipline; empty if none",
-    "discipline_date_4": "Date of the fourth discipline; empty if none",
-    "total_disciplines": "Disciplines of this operator in the study period",
-    "date_relative_1": "Days since the first discipline; negative before it",
-    "date_relative_2": "Days since the second discipline",
-    "date_relative_3": "Days since the third discipline",
-    "date_relative_4": "Days since the fourth discipline",
-    "period": "Pre-discipline or Post-discipline, by the first one",
-    "discipline_ind": "Whether the operator was disciplined that day",
-    "operator_id_hash": "Salted hash of the operator id",
-}
+ORDINALS = ("first", "second", "third", "fourth")
+
+
+def discipline_data(n: int = 4) -> dict[str, str]:
+    """Descriptions of the discipline panel with ``n`` dates."""
+    name = lambda i: ORDINALS[i - 1] if i <= len(ORDINALS) else f"{i}th"
+    dates = {f"discipline_date_{i}": f"Date of the {name(i)} discipline" + ("; empty if none" if i > 1 else "")
+             for i in range(1, n + 1)}
+    relative = {f"date_relative_{i}": f"Days since the {name(i)} discipline"
+                + ("; negative before it" if i == 1 else "") for i in range(1, n + 1)}
+    return {
+        "date": "Day of the daily averages",
+        "early_rate": "Share of time-point departures that were early that day",
+        "mean_secs": "Mean adherence in seconds at time points that day",
+        "discipline": "Whether the operator was disciplined that day",
+        **dates,
+        "total_disciplines": "Disciplines of this operator in the study period",
+        **relative,
+        "period": "Pre-discipline or Post-discipline, by the first one",
+        "discipline_ind": "Whether the operator was disciplined that day",
+        "operator_id_hash": "Salted hash of the operator id",
+    }
+
+
+DISCIPLINE_DATA = discipline_data()

@@ -19,15 +19,48 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                 mode: str = "overwrite") -> None:
     """Parquet. With partition columns, rows are first rebalanced on them, so that a small partition
-    is one file and a hot one is split over several writers."""
+    is one file and a hot one is split over several writers.
+
+    ``mode="replace_partitions"`` replaces only the partitions that ``df`` has rows of, such as the days of a
+    corrected extract, and leaves the files of all others as they are; written again, it gives the same table.
+    """
+    only_own = mode == "replace_partitions"
+    if only_own and not partition_by:
+        raise ValueError("replace_partitions needs partition columns")
     if partition_by:
-        df.hint("rebalance", *[F.col(c) for c in partition_by]).write.mode(mode).partitionBy(
-            *partition_by
-        ).parquet(path)
+        writer = df.hint("rebalance", *[F.col(c) for c in partition_by]).write.partitionBy(*partition_by)
+        if only_own:
+            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        else:
+            writer.mode(mode).option("partitionOverwriteMode", "static").parquet(path)
     else:
         df.write.mode(mode).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str | None = None,
+                   sort_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+    """A catalog table hashed by ``keys`` into ``buckets`` files: windows and joins on these keys, or on more
+    columns that start with them, read it without an exchange. Rows are hashed before the write, so there is one file per
+    bucket and not one per task and bucket. Choose ``buckets`` so that one holds 128 to 512 MB; a hot
+    key stays in one bucket, so tables with hot keys are better left unbucketed."""
+    writer = df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys)
+    if sort_by:
+        writer = writer.sortBy(*sort_by)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
+def open_bucketed(spark: SparkSession, table: str, path: str, schema: str, keys: Sequence[str], buckets: int,
+                  sort_by: Sequence[str] = ()) -> DataFrame:
+    """A bucketed table that another session wrote to ``path``, entered in this session's catalog."""
+    names = lambda columns: ", ".join(f"`{c}`" for c in columns)
+    ordered = f" SORTED BY ({names(sort_by)})" if sort_by else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet "
+              f"CLUSTERED BY ({names(keys)}){ordered} INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").option("header", header).csv(path)
 
