@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from steadypace.functions.strict import strict_mean, strict_mean_over
 from steadypace.operators.sessions import PIECE
-from steadypace.operators.skew import broadcast_if_small, null_safe_join
+from steadypace.operators.skew import broadcast_if_small, null_safe_join, share_keys
 
 
 @dataclass(frozen=True)
@@ -78,14 +78,14 @@ def keep_in_any(df: DataFrame, sets: Sequence[tuple[Sequence[str], DataFrame]])
     for position, (keys, members) in enumerate(sets):
         flag = f"_in_{position}"
         present = members.select(*keys).distinct().withColumn(flag, F.lit(True))
-        df = null_safe_join(df, broadcast_if_small(present), keys, "left")
+        df = null_safe_join(df, share_keys(present), keys, "left")
         kept = kept | F.coalesce(F.col(flag), F.lit(False))
     return df.where(kept).drop(*(f"_in_{position}" for position in range(len(sets))))
 
 
 def semi_join(df: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is among ``ids`` under SQL equality (a missing key matches nothing)."""
-    return df.join(broadcast_if_small(ids.select(*keys).distinct()), list(keys), "left_semi")
+    return df.join(share_keys(ids.select(*keys).distinct()), list(keys), "left_semi")
 
 
 def entity_counts(

@@ -55,6 +55,34 @@ def effect_table(
     return table.withColumn("p_value", p_value("t_value", "dof")) if with_p else table
 
 
+EFFECT = "Effect"  # fixed value: the published column of term names
+
+
+def term_names(coefficients: DataFrame, x: str, post: str, entity: str | None = None, key: str | None = None,
+               entity_first: bool = False) -> DataFrame:
+    """Adds the names under which a formula's terms are published: of pooled terms, such as ``x:post``, or of an
+    entity's level and slope changes, with the entity's name and ``key`` before them (``entity_first``) or after."""
+    term = F.col("term")
+    if entity is None:
+        names = {"intercept": "(Intercept)", "x": x, "post": post, "x:post": f"{x}:{post}"}
+        name = F.coalesce(*[F.when(term == t, F.lit(n)) for t, n in names.items()])
+    else:
+        own = F.concat(F.lit(entity), F.col(key).cast("string"))
+        rest = F.when(term == SLOPE, F.lit(f"{x}:{post}")).otherwise(F.lit(post))
+        name = F.concat_ws(":", own, rest) if entity_first else F.concat_ws(":", rest, own)
+    return coefficients.withColumn(EFFECT, name)
+
+
+def parse_term_names(named: DataFrame, x: str, post: str, entity: str, key: str) -> DataFrame:
+    """``term`` and ``key`` (text) from published names; rows of other terms drop out."""
+    parts = F.split(EFFECT, ":")
+    own = F.filter(parts, lambda p: p.startswith(entity))
+    changed = F.array_contains(parts, post) & (F.size(own) == 1)
+    term = F.when(F.array_contains(parts, x), SLOPE).otherwise(LEVEL)
+    return named.where(changed).withColumns({
+        "term": term, key: F.substring(F.element_at(own, 1), len(entity) + 1, 2**31 - 1)})
+
+
 def rank_effects(effects: DataFrame, entity: Sequence[str], into: str = "sort_order") -> DataFrame:
     """Number effects 1.. by estimate (ties by entity and term), without a single-task window.
     Rank the outcomes one by one."""

@@ -92,6 +92,14 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def share_keys(keys: DataFrame) -> DataFrame:
+    """``broadcast_if_small`` for a derived set of keys: where Spark's bound does not prove it small, the set, which is
+    small against the log it comes from, is stored, and what is stored is counted; nothing upstream runs twice."""
+    if plan_bytes(keys) <= BROADCAST_BYTES:
+        return F.broadcast(keys)
+    return broadcast_if_small(materialise(keys))
+
+
 def _large_groups(df: DataFrame, keys: Sequence[str], policy: SkewPolicy) -> list[Row]:
     """At most rows / max_group_rows groups with their count."""
     sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -471,6 +471,15 @@ ORACLE = {
            ON p.trip_id = s.trip_id AND p.operator_id = s.operator_id
           AND p.piece_start_ts = s.piece_start_ts""",
     ),
+    "stable_piece_ids": _with(
+        "stats",
+        """SELECT trip_id, operator_id, epoch_us(piece_start_ts) AS piece_start_us,
+                  row_number() OVER (ORDER BY piece_start_ts >= TIMESTAMP '2024-01-16', trip_id, operator_id,
+                                     piece_start_ts) AS id FROM stats""",
+    ),
+    "distinct_operators_by_month": """
+        SELECT strftime(ts, '%Y-%m') AS month, count(*) AS rows, count(DISTINCT user_id) AS operators
+        FROM events WHERE event_type IN ('view', 'click') GROUP BY month""",
     "hashed_session_ids": _with(
         "pieces",
         """SELECT stop_id, substring(sha256('salt|' || trip_id || '|' || operator_id || '|'
@@ -850,6 +859,13 @@ ORACLE = {
                               WHEN a = 2 AND b = 2 THEN sqrt(s2 * (1 / sxx0 + 1 / sxx1 + 1 / bs0 + 1 / bs1)) END
                   FROM olines, ofit, obase)""",
     ),
+    "effect_term_names": _with(
+        ("lines", "fit"),
+        _select("term_name || ':Supplier' || l_suppkey AS \"Effect\"", "CAST(l_suppkey AS VARCHAR) AS supplier", "term",
+                _near("estimate", "estimate", 3))
+        + """ FROM (SELECT *, 'level' AS term, 'PeriodAfter' AS term_name, d_level AS estimate FROM lines
+                    UNION ALL SELECT *, 'slope', 'Position:PeriodAfter', d_slope FROM lines)""",
+    ),
     "effect_ranking": _with("effects", _effects("effects")),
     "effect_intervals": _with(
         "effects",

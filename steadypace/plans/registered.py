@@ -53,8 +53,10 @@ from steadypace.operators.effects import (
     model_report,
     operators_by_class,
     outcome_counts,
+    parse_term_names,
     pick_entity,
     rank_effects,
+    term_names,
 )
 from steadypace.operators.moments import cell_moments, merge_cells, spread_of
 from steadypace.operators.ols import LEVEL, SLOPE, discontinuity, discontinuity_by
@@ -91,6 +93,8 @@ from steadypace.operators.sessions import (
     session_id,
     sessionize,
 )
+from steadypace.operators.sketches import entity_sketches, estimate, merge_sketches
+from steadypace.operators.stable_ids import new_ids
 from steadypace.plans import event_views as views
 from steadypace.plans.charts import day_lines as day_lines_frame
 from steadypace.plans.charts import effect_intervals as effect_intervals_frame
@@ -190,6 +194,23 @@ def dense_session_ids(spark, folder):
     return numbered.select("stop_id", "work_piece_id")
 
 
+@query
+def stable_piece_ids(spark, folder):
+    """Ids of the pieces of a first load and then of the whole log."""
+    pieces = _pieces(spark, folder)
+    first = new_ids(pieces.where(F.col("piece_start_ts") < F.lit("2024-01-16").cast("timestamp")), None, PIECE)
+    later = new_ids(pieces, first, PIECE)
+    return stack([first, later]).select(*key(), "id")
+
+
+@query
+def distinct_operators_by_month(spark, folder):
+    """Distinct operators per month from sketches kept by day; these sets are small enough for an exact answer."""
+    days = entity_sketches(views.daily_stops(spark, folder), ["date"], F.col("operator_id"))
+    months = merge_sketches(days.withColumn("month", F.date_format("date", "yyyy-MM")), ["month"])
+    return estimate(months, "operators")
+
+
 @query
 def hashed_session_ids(spark, folder):
     ids = session_id(_pieces(spark, folder), salt=SALT)
@@ -671,6 +692,16 @@ def effect_columns() -> list[Column | str]:
             whole("significant"), "outcome_group", "sort_order"]
 
 
+@query
+def effect_term_names(spark, folder):
+    """Names of the published coefficient table, and what is read back from them."""
+    fitted = discontinuity_by(_lines(spark, folder), "l_extendedprice", "position", after(), ["l_suppkey"])
+    names = ("Position", "PeriodAfter", "Supplier")
+    named = term_names(fitted.where("identified"), *names, "l_suppkey")
+    back = parse_term_names(named.select("Effect", near("estimate", 3)), *names, "supplier")
+    return back.select("Effect", "supplier", "term", "estimate")
+
+
 @query
 def effect_ranking(spark, folder):
     return _ranked(spark, folder).select(*effect_columns())

@@ -91,6 +91,12 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder."""
+    place, system = _place(spark, path)
+    return system.exists(place)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     place, system = _place(spark, path)
     if system.exists(place):

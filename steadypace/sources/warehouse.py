@@ -3,7 +3,7 @@ reads from Parquet or JDBC, so filters and column pruning reach the scan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steadypace.functions.scalars import (
@@ -64,14 +64,25 @@ def read_messages(comm: DataFrame, snapshot: DataFrame, operator: DataFrame, sta
     )
 
 
+def stored_days(partition: Column, start: str, end: str, slack_days: int = 1) -> Column:
+    """Partitions that can hold rows of a range on another date or time."""
+    first, last = F.to_date(F.lit(start)), F.to_date(F.lit(end))
+    return partition.between(F.date_sub(first, slack_days), F.date_add(last, slack_days))
+
+
 def read_adherence(source: DataFrame, start: str, end: str, operators: DataFrame | None = None,
-                   range_on: str = "actual_date", roll_midnight: bool = False) -> DataFrame:
+                   range_on: str = "actual_date", roll_midnight: bool = False,
+                   stored_by: str | None = None, slack_days: int = 1) -> DataFrame:
     """Stop-level adherence in a closed date range under this library's names.
 
     ``operators`` (a column ``operator_id``) limits it to a list. Departures take the service date,
-    also after midnight, unless ``roll_midnight``.
+    also after midnight, unless ``roll_midnight``. ``stored_by`` names the date column a table is partitioned by, if
+    it is not the one of the range: a departure lies at most ``slack_days`` from its partition's date, so
+    only the folders of these days are listed and read.
     """
     ranged = source.where(between_closed(F.col(range_on), start, end))
+    if stored_by is not None and stored_by != range_on:
+        ranged = ranged.where(stored_days(F.col(stored_by), start, end, slack_days))
     stops = ranged.select(
         "trip_id",
         "scheduled_date",
@@ -109,7 +120,8 @@ def read_writeups(writeups: DataFrame, pattern: str = PATTERN) -> DataFrame:
 
 def read_discipline_daily(source: DataFrame, writeups: DataFrame, start: str, end: str,
                           pattern: str = PATTERN) -> DataFrame:
-    """Daily time-point averages of disciplined operators with their incidents."""
+    """Daily time-point averages of disciplined operators with their incidents. The range is on the service date, so
+    of a table partitioned by it only these days are listed and read."""
     stops = source.where(
         between_closed(F.col("scheduled_date"), start, end) & as_flag(F.col("IsNode"))
     ).select(
