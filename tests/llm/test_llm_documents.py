@@ -92,6 +92,85 @@ def test_near_copies_that_no_pivot_reaches(spark):
     assert {r["component_id"] for r in found} == {0}
 
 
+def jaccard_links(texts, words, percent):
+    sets = []
+    for text in texts:
+        w = SPACES.findall(fold(text))
+        sets.append({tuple(w)} if 0 < len(w) < words else {tuple(w[i:i + words]) for i in range(len(w) - words + 1)})
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("words, percent", [(1, 85), (3, 80)])
+def test_short_texts_of_every_length(spark, words, percent):
+    """Whole sets below and around the sketch's size, where few changes decide; partners may be cut."""
+    rng = np.random.default_rng(words)
+    texts = []
+    for n in [*range(1, 30), 40, 52, 54, 55, 60, 62, 63, 64, 65, 70, 74, 75, 80]:
+        base = [f"v{n}_{i}" for i in range(n)]
+        for change in range(1 + n // 6):
+            own = list(base)
+            for i in rng.choice(n, change, replace=False):
+                own[i] = f"c{change}_{i}"
+            texts += [" ".join(own), " ".join(base + [f"e{i}" for i in range(change)])]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    found = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words, percent)
+    expected = jaccard_links(texts, words, percent)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(expected))
+
+
+def test_two_texts_of_one_id_keep_their_own_links(spark):
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (3, text("b") + " y"), (4, text("c")),
+            (7, text("d")), (7, text("e")), (5, text("e") + " z"), (None, text("a")), (6, None), (6, text("c") + " w")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect()
+    ids = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in found)
+    assert ids == Counter({(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (4, 4, True): 1, (7, 7, True): 1,
+                           (7, 5, False): 1, (5, 5, True): 1, (None, None, True): 1, (6, 6, True): 1, (6, 4, False): 1})
+
+
+def test_templated_lines_do_not_meet_all_others(spark):
+    """Lines of one template share most shingles with thousands, but are not similar: by the template's own words they
+    would make n * (n - 1) / 2 pairs; only values of a field bring lines together."""
+    from steadypace.llm import near_dedup
+
+    counts = {}
+    for n in (1000, 4000):
+        lines = spark.range(n).selectExpr(
+            "id AS doc_id",
+            "concat_ws(' ', 'user', hash(id, 1) % 300, 'opened file', hash(id, 2) % 300, 'from host', hash(id, 3) % 300,"
+            " 'with code', hash(id, 4) % 300, 'and went away') AS text")
+        signed = near_dedup.signatures(lines, 3)
+        nodes = near_dedup.materialise(signed.selectExpr("doc_id AS node", "n_shingles", "sketch"))
+        lists = near_dedup.materialise(near_dedup._can_meet(near_dedup._prefixes(nodes, 85, 64), 85))
+        other = lists.selectExpr("value", "node AS other_node", "size AS other_size", "rest AS other_rest")
+        met = lists.join(other, "value").where("node < other_node").where(near_dedup._order_fits(85))
+        counts[n] = met.count()
+        assert near_duplicates(lines, 3, 85).where("not kept").count() == 0
+    assert counts[1000] <= 1000 and counts[4000] <= 2 * 4000
+
+
+def test_a_clashing_column_is_kept(spark):
+    schema = "doc_id long, text string, _row string, _ROW_ string, component_id long"
+    rows = [(i, "one two three four five six", f"r{i}", f"s{i}", 9 - i) for i in range(3)]
+    kept = keep_one_row(spark.createDataFrame(rows, schema), 3, 80)
+    assert kept.columns == ["doc_id", "text", "_row", "_ROW_", "component_id"]
+    assert [tuple(r) for r in kept.collect()] == [rows[0]]
+
+
 def test_one_row_of_each_group_stays(spark, empty):
     text = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
     rows = [(5, text("a"))] * 40 + [(None, text("b"))] * 30 + [(None, text("c")), (9, text("c")), (3, text("c"))]
