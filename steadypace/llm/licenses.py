@@ -8,21 +8,27 @@ and digits, line breaks joined, copyright lines left out. A known text is in a d
 paragraphs follow each other there, so one with other text around is found as long as its paragraphs are
 kept. Everything is DataFrame functions.
 
-Lines are looked up as distinct digests: the same notice on a third of all lines is one row of the join,
-and hits come back to the documents through the digest.
-
-Nulls: a null text is an empty one. An empty canonical form has no licence. Repeated rows are each
-answered, by ``doc_id``. Known rows with a null name or text are left out; if two names share a digest the
-alphabetically first counts. Only ``doc_id`` and ``text`` are read.
+Texts are read once. Each row gives the digest of its whole form, and those of its lines and paragraphs that can be a
+known one: a cheap test of the first word comes before the canonical form, and leaves out most of them. What is left
+is stored under a number of the row and joined by digest.
+
+Nulls: a null text is an empty one. An empty canonical form has no licence. Rows are told apart by a number of
+their own, so rows that repeat a ``doc_id``, and rows of a null one, each get the licences of their own text. Known
+rows with a null name or text are left out; if two names share a digest the alphabetically first counts. Only
+``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from steadypace.operators.skew import broadcast_if_small
+from steadypace.session import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Whole texts, a file for each licence; the notice of a text's owner is left out of some.
@@ -65,17 +71,37 @@ COPYRIGHT_LINE = (
     r"statements?|permission|protection|treat(y|ies)|disclaimers?|rights?|status|acts?|and|or|on|to|of|in|is|for|as|"
     r"under|that|the[ \t\r]*(\n|software|program|library|work))\b))|\(c\)[ \t]*(copyright|[0-9\[<{])|©)[^\n]*"
 )
+# Each with a part that a text must have for it to apply (empty: any text).
 SPELLINGS = [
-    (r"licence", "license"), (r"sub-?licens", "sublicens"), (r"noninfringement", "non-infringement"),
-    (r"copyright\s+holders?", "copyright owner"), (r"https?://", "//"), (r"\bv(ersion)? ?([0-9])", "version $2"),
+    ("licence", r"licence", "license"), ("licens", r"sub-?licens", "sublicens"),
+    ("noninfringement", r"noninfringement", "non-infringement"),
+    ("copyright", r"copyright\s+holders?", "copyright owner"), ("http", r"https?://", "//"),
+    ("", r"\bv(ersion)? ?([0-9])", "version $2"),
 ]
+# First words of a raw text that the canonical form may change.
+CHANGED_FIRST = r"^(sub|sublicen.*|licence.*|noninfringement.*|https?|v|v[0-9].*|version[0-9].*|copyright|c)$"
+FIRST_WORDS = 2000  # a longer list of known first words is not tested
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _respelled(part: str, spelled: str, meant: str) -> Callable[[Column], Column]:
+    return lambda f: F.when(f.contains(part), F.regexp_replace(f, spelled, meant)).otherwise(f)
 
 
 def canonical(text: Column) -> Column:
     form = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    form = F.regexp_replace(form, COPYRIGHT_LINE, "$1")
-    for spelled, meant in SPELLINGS:
-        form = F.regexp_replace(form, spelled, meant)
+    form = _let(form, lambda f: F.when(
+        f.contains("copyright") | f.contains("(c)") | f.contains("©"), F.regexp_replace(f, COPYRIGHT_LINE, "$1")
+    ).otherwise(f))
+    for part, spelled, meant in SPELLINGS:
+        if part:
+            form = _let(form, _respelled(part, spelled, meant))
+        else:
+            form = F.regexp_replace(form, spelled, meant)
     return F.trim(F.regexp_replace(form, r"[^a-z0-9]+", " "))
 
 
@@ -105,58 +131,71 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 
 def paragraphs(text: Column) -> Column:
-    """Canonical forms of the paragraphs that have one, in order."""
-    return F.filter(F.transform(F.split(text, PARAGRAPH_END), canonical), lambda form: form != "")
-
-
-def _runs(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, license) of known texts whose paragraphs all follow each other in a document. Documents of
-    one paragraph are left to the look-up of the whole."""
-    blocks = known.dropna().select("license", paragraphs(F.col("text")).alias("blocks"))
-    parts = (
-        blocks.select("license", digest(F.array_join("blocks", "\n")).alias("run"), F.size("blocks").alias("n"),
-                      F.posexplode("blocks").alias("k", "form"))
-        .groupBy("run", "n", "k", digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"))
-    )
-    # Rows that repeat a doc_id are kept apart by a number of their own.
-    found = (
-        docs.where(F.col("text").rlike(PARAGRAPH_END))
-        .select("doc_id", F.monotonically_increasing_id().alias("row"), paragraphs(F.col("text")).alias("blocks"))
-        .select("doc_id", "row", F.posexplode("blocks").alias("at", "form"))
-        .select("doc_id", "row", "at", digest(F.col("form")).alias("digest"))
-    )
+    """Raw texts of the paragraphs that have a canonical form, in order."""
+    blocks = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH_END), lambda p: p.rlike("[A-Za-z0-9]"))
+    # Only a statement of copyright can be all that a paragraph with letters or digits has.
+    stated = lambda p: p.rlike(r"(?i)(copyright|\(c\)|©)")
+    return F.filter(blocks, lambda p: F.when(stated(p), canonical(p) != "").otherwise(True))
+
+
+def known_parts(known: DataFrame) -> DataFrame:
+    """What is looked up: digest, license, and of which run of ``n`` paragraphs it is the ``k``-th (one row of
+    ``n = 0`` for a text as a whole or a line)."""
+    texts = known.dropna().select("license", canonical(F.col("text")).alias("form"), paragraphs(F.col("text")).alias("p"))
+    blocks = texts.select("license", F.transform("p", canonical).alias("blocks"))
+    whole = texts.where(F.col("form") != "").select("license", "form", F.lit("").alias("run"), F.lit(0).alias("n"),
+                                                     F.lit(0).alias("k"))
+    runs = blocks.select("license", digest(F.array_join("blocks", "\n")).alias("run"), F.size("blocks").alias("n"),
+                         F.posexplode("blocks").alias("k", "form"))
     return (
-        found.join(parts, "digest")
-        .groupBy("doc_id", "row", "run", "license", "n", (F.col("at") - F.col("k")).alias("start"))
-        .agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") == F.col("n")).select("doc_id", "license")
+        whole.unionByName(runs.select(*whole.columns))
+        .groupBy("run", "n", "k", "form").agg(F.min("license").alias("license"))
+        .select(digest(F.col("form")).alias("digest"), "license", "run", "n", "k",
+                F.substring_index("form", " ", 1).alias("first"))
     )
 
 
+def _may_be_known(raw: Column, words: list[str] | None) -> Column:
+    """Whether a line or paragraph can have one of the known canonical forms, by its first word."""
+    first = F.translate(F.regexp_extract(raw, "[A-Za-z0-9]+", 0), UPPER, LOWER)
+    if words is None:
+        return first != ""
+    return first.isin(words) | first.rlike(CHANGED_FIRST) | raw.rlike("^[^A-Za-z0-9]*©")
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, text_sha256 (of the whole canonical form), license (of the whole text,
     else null), licenses (of its lines, runs of paragraphs and the whole, sorted, comma-joined; else empty)."""
-    table = (
-        known.dropna().select("license", canonical(F.col("text")).alias("form")).where(F.col("form") != "")
-        .groupBy(digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"))
-    )
-    # One row per document: digests of its distinct lines; a line's form never runs over a line break.
-    lines = F.array_distinct(F.filter(
-        F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), canonical), lambda form: form != ""
+    parts = materialise(known_parts(known))
+    words = [r[0] for r in parts.select("first").distinct().limit(FIRST_WORDS + 1).collect()]
+    words = None if len(words) > FIRST_WORDS else sorted(words)
+    text = F.coalesce("text", F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: _may_be_known(x, words))
+    lines = F.transform(F.array_distinct(F.transform(lines, canonical)),
+                        lambda form: F.struct(F.lit(-1).alias("at"), digest(form).alias("digest")))
+    blocks = F.transform(paragraphs(text), lambda p, i: F.struct(i.alias("at"), p.alias("p")))
+    blocks = F.transform(F.filter(blocks, lambda b: _may_be_known(b["p"], words)),
+                         lambda b: F.struct(b["at"].alias("at"), digest(canonical(b["p"])).alias("digest")))
+    # A text of one paragraph is looked up as a whole.
+    blocks = F.when(text.rlike(PARAGRAPH_END), blocks).otherwise(F.array().cast("array<struct<at:int,digest:string>>"))
+    signed = materialise(docs.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", digest(canonical(F.col("text"))).alias("text_sha256"),
+        F.concat(lines, blocks).alias("posted"),
     ))
-    signed = docs.select(
-        "doc_id", digest(canonical(F.col("text"))).alias("text_sha256"), lines.alias("lines")
-    )
-    posted = signed.select("doc_id", F.explode("lines").alias("form")).select(
-        "doc_id", digest(F.col("form")).alias("digest"))
-    whole = table.toDF("text_sha256", "license")
-    in_lines = (
-        posted.join(table, "digest").select("doc_id", "license").unionByName(_runs(docs, known)).groupBy("doc_id")
-        .agg(F.collect_set("license").alias("in_lines")).withColumnRenamed("doc_id", "found_id")
+    table = broadcast_if_small(parts.drop("first"))
+    met = signed.select("row", F.inline("posted")).join(table, "digest")
+    met = met.where((F.col("at") < 0) == (F.col("n") == 0))
+    runs = (
+        met.where("n > 0").groupBy("row", "run", "license", "n", (F.col("at") - F.col("k")).alias("start"))
+        .agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") == F.col("n")).select("row", "license")
     )
-    found = signed.drop("lines").join(whole, "text_sha256", "left")
-    found = found.join(in_lines, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    inside = met.where("n = 0").select("row", "license").unionByName(runs).groupBy("row").agg(
+        F.collect_set("license").alias("inside"))
+    whole = broadcast_if_small(
+        parts.where("n = 0").select(F.col("digest").alias("text_sha256"), "license"))
+    found = signed.drop("posted").join(whole, "text_sha256", "left").join(inside, "row", "left")
     every = F.array_sort(F.array_distinct(F.concat(
-        F.coalesce("in_lines", F.expr("cast(array() as array<string>)")),
+        F.coalesce("inside", F.expr("cast(array() as array<string>)")),
         F.array_compact(F.array("license")),
     )))
     return found.select("doc_id", "text_sha256", "license", F.array_join(every, ",").alias("licenses"))

@@ -321,6 +321,38 @@ def test_licenses_of_lines_and_whole_texts(spark, empty):
     assert scan_licenses(empty, known_licenses(spark)).count() == 0
 
 
+def test_licenses_of_rows_that_share_an_id(spark):
+    rows = [(None, "a\nReleased under the MIT License."), (None, "plain"), (7, "Licensed under CC BY 4.0."), (7, "plain"),
+            (7, "x\n\nReleased under the MIT License.\n\ny"), (None, None), (None, "Licensed under CC BY 4.0.\nz")]
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), known_licenses(spark))
+    assert Counter((r["doc_id"], r["license"], r["licenses"]) for r in found.collect()) == Counter([
+        (None, None, "MIT"), (None, None, ""), (7, "CC-BY-4.0", "CC-BY-4.0"), (7, None, ""), (7, None, "MIT"),
+        (None, None, ""), (None, None, "CC-BY-4.0")])
+
+
+def test_the_first_word_leaves_nothing_out(spark, monkeypatch):
+    """Forms whose first word only the canonical form gives, with and without the cheap test."""
+    from steadypace.llm import licenses
+
+    known = [("A", "Sublicensing is fine."), ("B", "Version 2 of this."), ("C", "Non-infringement of x"), ("D", "//x.org/y terms"),
+             ("E", "License text here"), ("F", "Copyright owner says so"), ("G", "Plain first words"), ("H", "été libre"),
+             ("I", "One block.\n\nCopyright 1999 Me\n\nTwo block.")]
+    texts = ["sub-licensing is fine", "v2 of this", "V 2, of this", "version2 of this", "NonInfringement of X",
+             "https://x.org/y terms", "http://x.org/y - terms", "LICENCE text here", "Copyright holders say so",
+             "copyright holder says so", "** plain first words", "Été libre", "© 2020 Me", "(c) 2020 Me\nplain first words",
+             "a\n\nOne block.\n\n(c) 2000 You\n\n© 2001 Her\n\ntwo block\n\nb", "a\n\n-\n© Me\nplain first words\n\nb"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"Before.\n{t}\nafter") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(known, "license string, text string")
+    get = lambda: sorted(map(str, scan_licenses(docs, table).collect()))
+    quick = get()
+    monkeypatch.setattr(licenses, "FIRST_WORDS", 0)
+    assert get() == quick
+    found = {r["doc_id"]: r["licenses"] for r in scan_licenses(docs, table).collect()}
+    assert [found[i] for i in range(16)] == ["A", "B", "B", "B", "C", "D", "D", "E", "", "F", "G", "H", "", "G", "I", "G"]
+    assert [found[100 + i] for i in range(12)] == ["A", "B", "B", "B", "C", "D", "D", "E", "", "F", "G", "H"]
+
+
 def test_licenses_in_full(spark):
     import textwrap
 
