@@ -15,12 +15,14 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 
 # HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small "
-                   "span strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math select object".split())
+                   "span strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mfrac msqrt "
+                   "mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom menclose".split())
+RAW = frozenset("script style noscript template iframe textarea title select annotation annotation-xml".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 "
@@ -44,9 +46,10 @@ AFTER = frozenset(
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 MARKS = ASIDE_ROLES | {"main", "articlebody"}
 MOST_CHILDREN = 64
+DEEPEST = 200  # elements further down have no node of their own
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _CLASS = re.compile(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
@@ -54,9 +57,18 @@ _CLASS = re.compile(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 def parse(page: str, words: frozenset | None = None) -> list:
     """The page as a root node of nested [label, children]; texts are strings. Inline tags leave no trace,
     elements of no text content are dropped, missing end tags are filled in. Only class words among
-    ``words`` are in labels; all are if that is None."""
+    ``words`` are in labels; all are if that is None. What lies deeper than ``DEEPEST`` elements goes, in its order,
+    to its ancestor at that depth, asides excepted; so no step after this one meets a deeper tree."""
     root: list = ["", []]
-    stack, at, skip = [root], 0, ""
+    stack, at = [root], 0
+    opened: Counter = Counter()
+
+    def close(depth: int) -> None:
+        opened.subtract(_tag(n[0]) for n in stack[depth:])
+        if len(stack) > DEEPEST:
+            _text(stack[max(depth - 1, 0)], " ")
+        del stack[depth:]
+
     for token in _TOKEN.finditer(page):
         if token.start() < at:
             continue
@@ -79,23 +91,24 @@ def parse(page: str, words: frozenset | None = None) -> list:
         if tag in INLINE and not token["close"] and not _aside(tag, token["rest"]):
             stack[-1][1].append(None)  # keeps texts on both sides together
             continue
-        if tag in INLINE and all(n[0].split(" ")[0] != tag for n in stack):
-            continue
         if token["close"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0].split(" ")[0] == tag:
-                    del stack[depth:]
-                    break
+            if opened[tag] > 0:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if _tag(stack[d][0]) == tag))
             continue
         closes = CLOSES.get(tag, ()) or ({"p"} if tag in BLOCKS else ())
         if tag in BLOCKS and tag != "p":
             closes = set(closes) | {"p"}
-        while len(stack) > 1 and stack[-1][0].split(" ")[0] in closes:
-            stack.pop()
+        while len(stack) > 1 and _tag(stack[-1][0]) in closes:
+            close(len(stack) - 1)
         node = [_label(tag, token["rest"], words), []]
-        stack[-1][1].append(node)
+        if len(stack) <= DEEPEST:
+            stack[-1][1].append(node)
+        elif not is_aside(node[0]):
+            _text(stack[-1], " ")
+            node[1] = stack[-1][1]
         if not token["rest"].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     if at < len(page):
         _text(stack[-1], page[at:])
     return root

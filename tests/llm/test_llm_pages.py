@@ -165,3 +165,29 @@ def test_wrappers_do_not_grow_with_the_pages_of_a_host(spark):
         i = r["page_id"]
         rest = [f"{t} {i}" for t in ("p", "ul", "h2", "pre")[i % 3:] * (1 + i % 30)]
         assert r["text"] == " ".join([f"T {i}", *rest])
+
+
+def test_very_deep_pages(spark):
+    n = 100_000
+    deep = "<div>" * n + "<h1>Deep</h1><p>first<p>second <b>bold</b>ness<aside>no</aside>" + "</div>" * n + "<p>last</p>"
+    mixed = "".join(f"<div class=d{i % 3}>a{i} " for i in range(3000)) + "<nav>no</nav>end"
+    closers = "<section>" * 5000 + "x" + "</b></i></section>" * 5000
+    rows = [(1, "http://d.org/1", f"<body>{deep}</body>"), (2, "http://e.org/2", mixed), (3, "http://f.org/3", closers),
+            (4, "http://d.org/4", "<body><div><p>short</p></div></body>"), (5, None, "<b>" * n + "bold")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r["page_id"]: r["text"] for r in main_text(pages).collect()}
+    assert found[1] == "Deep first second boldness last"
+    assert found[2] == " ".join(f"a{i}" for i in range(3000)) + " end"
+    assert found[3] == "x" and found[4] == "short" and found[5] == "bold"
+
+
+def test_formulas_fallbacks_and_quotes():
+    text = lambda page: own_text(parse(page))
+    assert text("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> here") == (
+        "Energy is E=mc2 here")
+    assert text("<p>a <math><semantics><mi>x</mi><annotation encoding='tex'>\\x</annotation></semantics></math> b") == "a x b"
+    assert text("<p>a</p><object data=x>the fallback</object><p>b</p>") == "a the fallback b"
+    assert text("<p>a</p><svg><title>t</title><path d=m><text>drawn</text></svg><p>b</p>") == "a drawn b"
+    assert text("<p title=don't>Hello</p> <p title='a>b' x=\"c>d\">there</p>") == "Hello there"
+    assert text("<p data-x=\"open>Hello <i a='b'>x</i></p>") in ("Hello x", "x")
+    assert text("<a href=http://x.org/it's>link</a> <p class = \"k\">y") == "link y"
