@@ -155,7 +155,8 @@ def test_templated_lines_do_not_meet_all_others(spark):
             " 'with code', hash(id, 4) % 300, 'and went away') AS text")
         signed = near_dedup.signatures(lines, 3)
         nodes = near_dedup.materialise(signed.selectExpr("doc_id AS node", "n_shingles", "sketch"))
-        lists = near_dedup.materialise(near_dedup._can_meet(near_dedup._prefixes(nodes, 85, 64), 85))
+        lists = near_dedup._prefixes(nodes, 85, 64).where("tight")
+        lists = near_dedup.materialise(near_dedup._can_meet(lists, 85))
         other = lists.selectExpr("value", "node AS other_node", "size AS other_size", "rest AS other_rest")
         met = lists.join(other, "value").where("node < other_node").where(near_dedup._order_fits(85))
         counts[n] = met.count()
