@@ -113,6 +113,63 @@ ORACLE: dict[str, str] = {"op10_urls": """
                           WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best
                FROM parts)
     SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged""",
+    "op2_near_dedup": r"""
+    WITH RECURSIVE lower_case AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    words AS (SELECT r, doc_id, coalesce(w, []) AS w FROM lower_case),
+    sets AS (
+        SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s
+        FROM words),
+    every AS (SELECT r, len(s) AS size, unnest(s) AS shingle FROM sets WHERE doc_id IS NOT NULL),
+    numbered AS (SELECT r, size, dense_rank() OVER (ORDER BY shingle) AS shingle FROM every),
+    shared AS (
+        SELECT a.r AS a, b.r AS b, a.size AS a_size, b.size AS b_size, count(*) AS n
+        FROM numbered a JOIN numbered b ON a.shingle = b.shingle AND a.r < b.r
+             AND 100 * a.size >= 85 * b.size AND 100 * b.size >= 85 * a.size
+        GROUP BY ALL),
+    similar_rows AS (SELECT a, b FROM shared WHERE 100 * n >= 85 * (a_size + b_size - n)),
+    links AS (SELECT a, b FROM similar_rows UNION ALL SELECT b, a FROM similar_rows),
+    reached AS (
+        SELECT r, r AS t FROM sets
+        UNION
+        SELECT reached.r, links.b FROM reached JOIN links ON reached.t = links.a)
+    SELECT x.doc_id, CAST(len(x.s) AS BIGINT) AS n_shingles, c.component_id,
+           x.doc_id IS NOT DISTINCT FROM c.component_id AS kept
+    FROM sets x JOIN (SELECT reached.r, min(y.doc_id) AS component_id FROM reached JOIN sets y ON y.r = reached.t
+                      GROUP BY reached.r) c ON c.r = x.r""",
+    "op4_decontamination": r"""
+    WITH texts AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+        FROM documents),
+    items AS (
+        SELECT CAST(item_id AS VARCHAR) AS item, len(w) AS n, least(len(w), 10) AS size, w FROM (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                         'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+    patterns AS (
+        SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS pattern
+        FROM (SELECT *, unnest(range(1, n - size + 2)) AS i FROM items)),
+    windows AS (
+        SELECT r, size, i, array_to_string(w[i : i + size - 1], ' ') AS pattern
+        FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i
+              FROM texts, (SELECT DISTINCT size FROM patterns) WHERE len(w) >= size)),
+    found AS (SELECT r, i, w.size, item FROM windows w JOIN patterns p ON w.size = p.size AND w.pattern = p.pattern),
+    hit AS (
+        SELECT r, count(DISTINCT place) AS n_hit
+        FROM (SELECT r, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT r, i, size FROM found)) GROUP BY r),
+    named AS (
+        SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+        FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM texts LEFT JOIN hit ON hit.r = texts.r LEFT JOIN named ON named.r = texts.r""",
     "op11_hard_negatives": """
     WITH rows AS (
         SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from steadypace.llm.common import with_package
 from steadypace.llm.hashing import ALNUM, U, Words, batch_words, mix, slices
 from steadypace.llm.labelled import calibrate, held_out, training_rows
+from steadypace.session import materialise
 
 BITS = 18
 PREFIX = 5
@@ -231,10 +232,24 @@ def _moments(docs: DataFrame, voters: Voters) -> tuple[int, np.ndarray, np.ndarr
     return int(sums[0] or 0), np.diag(products).copy(), products
 
 
+def _votes(rows: DataFrame, voters: Voters) -> DataFrame:
+    """doc_id and votes (a byte each) of rows, from their whole texts."""
+    shared = with_package(rows.sparkSession).sparkContext.broadcast(voters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                fires = shared.value.votes(batch_words(batch.column("text"), ALNUM, prefix=PREFIX))
+                yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()),
+                                       "votes": pa.array([f.tobytes() for f in fires], pa.binary())})
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, votes binary")
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> ToxicityModel:
     """Fit on at most ``2 * per_class`` labelled documents and the voters' moments over all documents."""
-    rows = sorted(_bags(training_rows(docs, labels, "toxic", per_class)).drop("text").toLocalIterator(),
-                  key=lambda r: r["doc_id"])
+    picked = materialise(training_rows(docs, labels, "toxic", per_class))
+    rows = sorted(_bags(picked).drop("text").toLocalIterator(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return ToxicityModel(np.zeros(1 << BITS), -500.0)
@@ -244,15 +259,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Toxicity
     n, sums, products = _moments(docs, voters)
     prior = float(np.clip(weight[y == 1].max() / 2, 1e-3, 1 - 1e-3))
     model = fit_label_model(max(n, 1), sums, products, prior)
-    # Votes of the training rows, from their distinct words.
-    votes = np.zeros((len(bags), voters.count), np.int8)
-    for i, (words, heads) in enumerate(bags):
-        at, head = _inside(words, voters.words), _inside(heads, voters.heads)
-        votes[i, 0] = (_inside(words, voters.fixed) >= 0).any()
-        votes[i, 1 + voters.word_voter[at[at >= 0]]] = 1
-        votes[i, 1 + WORD_VOTERS + voters.head_voter[head[head >= 0]]] = 1
-        signs = (at >= 0).sum() + (head >= 0).sum()
-        votes[i, -2], votes[i, -1] = signs >= 2, signs * 400 >= max(len(words), 1)
+    # The training rows' votes come from their whole texts, as those behind the moments do.
+    cast = {r["doc_id"]: r["votes"] for r in _votes(picked, voters).toLocalIterator()}
+    votes = np.array([np.frombuffer(cast[r["doc_id"]], np.int8) for r in rows])
     # Every fifth row is kept from the fit, to set slope and shift by its label.
     aside = np.arange(len(bags)) % 5 == 4
     if len(set(y[aside].tolist())) < 2 or not (~aside).any():

@@ -396,6 +396,21 @@ def test_classifiers_on_held_out_rows(spark, folder, docs, empty):
         assert module.keep(docs, blank).count() == docs.count()
 
 
+def test_training_rows_vote_as_all_documents_do(spark, folder):
+    """Every occurrence counts for a vote, also of words a text repeats."""
+    from steadypace.llm.hashing import ALNUM, batch_words
+
+    texts = ["idiot " * 3 + "word " * 900, "word " * 900 + "idiot", "alpha beta idiot", "", None, "Idiots! " + "x " * 50]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = np.sort(batch_words(toxicity.pa.array(["idiot", "word"]), ALNUM).hashes)
+    fixed = np.sort(np.array([toxicity._hash(w) for w in toxicity.INSULTS], np.uint64))
+    none = np.zeros(0, np.uint64)
+    voters = toxicity.Voters(hashes[:1], np.zeros(1, np.int64), none, np.zeros(0, np.int64), fixed)
+    found = {r["doc_id"]: np.frombuffer(r["votes"], np.int8).tolist() for r in toxicity._votes(table, voters).collect()}
+    whole = voters.votes(batch_words(toxicity.pa.array([t or "" for t in texts]), ALNUM, prefix=toxicity.PREFIX))
+    assert found == {i: row.tolist() for i, row in enumerate(whole)}
+
+
 def test_labels_of_absent_documents_take_no_place_in_the_sample(spark):
     labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("y0"))
     docs = spark.range(2900, 3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
