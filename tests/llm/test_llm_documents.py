@@ -132,6 +132,64 @@ def test_short_texts_of_every_length(spark, words, percent):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(expected))
 
 
+def near_copies(n, seed=5):
+    """Texts made from three bases by 0 to 15 edits, with edits that several share; two bases share a passage."""
+    rng = np.random.default_rng(seed)
+    bases = [[f"b{j}_{i}" for i in range(120)] for j in range(3)]
+    bases[1][:60] = bases[0][:60]
+    texts = []
+    for _ in range(n):
+        words = list(bases[int(rng.choice(3, p=[0.7, 0.2, 0.1]))])
+        for _ in range(int(rng.integers(16))):
+            at, new = int(rng.integers(len(words))), f"e{rng.integers(20)}"
+            words[at:at + 1] = ([], [new], [words[at], new])[int(rng.integers(3))]
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("meet, pivots", [(2, 2), (4, 4), (32, 4)])
+def test_long_lists_of_near_copies_are_cut_without_a_loss(spark, monkeypatch, meet, pivots):
+    from steadypace.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "MEET", meet, raising=False)
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    cuts, cut = [], near_dedup._differing_lists
+    monkeypatch.setattr(near_dedup, "_differing_lists", lambda *a: cuts.append(1) or cut(*a))
+    texts = near_copies(400, meet)
+    found = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85)
+    found = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert found == dict(enumerate(jaccard_links(texts, 3, 85)))
+    assert cuts or meet == 32
+
+
+def test_a_group_of_near_copies_makes_no_square_of_pairs(spark, monkeypatch):
+    """Near copies that are not similar to each other stand in the same lists: these lists are cut, so that the
+    pairs a list compares stay a few for each entry."""
+    from steadypace.llm import near_dedup
+
+    seen, met = [], near_dedup._met
+
+    def count(entries, *rest):
+        lists = entries.groupBy("value").count().selectExpr("sum(count)", "sum(count * (count - 1) / 2)").first()
+        seen.append(tuple(x or 0 for x in lists))
+        return met(entries, *rest)
+
+    monkeypatch.setattr(near_dedup, "_met", count)
+    first, opened = [], near_dedup._open_lists
+
+    def lists(*a):
+        out = near_dedup.materialise(opened(*a))
+        first.append(out.groupBy("value").count().selectExpr("sum(count)", "sum(count * (count - 1) / 2)").first())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_open_lists", lists)
+    texts = near_copies(2500)
+    near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).count()
+    entries, pairs = first[0]
+    assert pairs > 100 * entries and len(seen) > 1
+    assert sum(x[1] for x in seen) < 32 * entries
+
+
 def test_two_texts_of_one_id_keep_their_own_links(spark):
     text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
     rows = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (3, text("b") + " y"), (4, text("c")),
