@@ -13,7 +13,7 @@ def spark():
     session = build_session(
         "local[4]", "tests", spark__sql__shuffle__partitions="2", spark__driver__memory="4g",
         spark__driver__extraJavaOptions="-XX:TieredStopAtLevel=1",
-        spark__ui__showConsoleProgress="false",
+        spark__ui__showConsoleProgress="false", spark__sql__maxMetadataStringLength="1000",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
