@@ -222,6 +222,21 @@ def test_templated_lines_do_not_meet_all_others(spark):
     assert counts[1000] <= 1000 and counts[4000] <= 2 * 4000
 
 
+def test_values_shared_with_many_documents_once_list_no_node(spark):
+    """Each text shares all its words, every one with another text: none has a partner, so none is in a list. Copies
+    that share them with one text are."""
+    from steadypace.llm import near_dedup
+
+    texts = [" ".join(f"w{min(i, j)}_{max(i, j)}" for j in range(50) if i != j) for i in range(50)]
+    texts += [texts[7] + " more", texts[30] + " other"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = near_dedup.materialise(near_dedup.signatures(docs, 1).selectExpr("doc_id AS node", "n_shingles", "sketch"))
+    listed = {r["node"] for r in near_dedup._prefixes(nodes, 85, 64).select("node").collect()}
+    assert listed >= {7, 30, 50, 51} and len(listed) < 10
+    found = near_duplicates(docs, 1, 85).where("not kept").collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(50, 7), (51, 30)}
+
+
 def test_a_clashing_column_is_kept(spark):
     schema = "doc_id long, text string, _row string, _ROW_ string, component_id long"
     rows = [(i, "one two three four five six", f"r{i}", f"s{i}", 9 - i) for i in range(3)]

@@ -1,6 +1,9 @@
 """The ways taken when nothing is proven small give the same rows as the broadcasts."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 from shapes import events, rows, run, stops
 
 from steadypace.operators import skew
@@ -9,6 +12,7 @@ from steadypace.operators.daily import discipline_days
 from steadypace.operators.panel import build_text_panel
 from steadypace.operators.skew import is_small
 from steadypace.plans import event_views as views
+from steadypace.session import SHUFFLES_GO, materialise
 
 
 @pytest.fixture
@@ -66,3 +70,22 @@ def test_panel_shuffles_the_log_once(spark, folder):
     logs = [line for line in plan_of(built).splitlines()
             if "Exchange hashpartitioning(trip_id" in line and "piece_start_ts" not in line]
     assert len(logs) == 1
+
+
+def test_stored_results_leave_no_shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = files.getAllFiles()
+        names = (found.apply(i).getName() for i in range(found.size()))
+        return {name for name in names if name.startswith("shuffle_")}
+
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = shuffles()
+    stored = materialise(frame)
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert sorted(r["count"] for r in stored.collect()) == [142] + [143] * 6
+    assert spark.conf.get(SHUFFLES_GO, None) is None
