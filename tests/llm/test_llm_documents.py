@@ -237,6 +237,14 @@ def test_values_shared_with_many_documents_once_list_no_node(spark):
     assert {(r["doc_id"], r["component_id"]) for r in found} == {(50, 7), (51, 30)}
 
 
+def test_texts_are_not_shuffled_to_drop_rows(spark):
+    rows = [(i, " ".join(f"a{i % 40}_{j}" for j in range(30))) for i in range(80)]
+    kept = keep_one_row(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
+
+
 def test_a_clashing_column_is_kept(spark):
     schema = "doc_id long, text string, _row string, _ROW_ string, component_id long"
     rows = [(i, "one two three four five six", f"r{i}", f"s{i}", 9 - i) for i in range(3)]
